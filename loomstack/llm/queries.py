@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstack.llm import language_id, mixing, token_count
+from loomstack.llm import chat, language_id, mixing, quality, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_count": token_count.op4_token_count,
     "op7_language_id": language_id.op7_language_id,
+    "op8_preferences": chat.op8_preferences,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op1_pareto_mix": mixing.OP1_SQL,
+    "op3_quality_rules": quality.OP3_SQL,
+    "op8_preferences": chat.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
