@@ -45,7 +45,7 @@ def has_word_lines(text: str) -> str:
 RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("dup_lines", f"10 * n_dup_lines > 3 * size({has_word_lines('text')})"),
+    Rule("dup_lines", f"n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * size({has_word_lines('text')})"),
     Rule("capitals", r"2 * regexp_count(text, '\\p{Lu}') > word_chars"),
 )
 
@@ -142,6 +142,6 @@ m AS (SELECT doc_id, t, len(ls) AS n_lines, CAST(len(ws) AS BIGINT) AS n_words,
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-       OR 10 * n_dup_lines > 3 * n_lines OR 2 * len(regexp_extract_all(t, '\p{Lu}')) > word_chars) AS kept
+       OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * len(regexp_extract_all(t, '\p{Lu}')) > word_chars) AS kept
 FROM b
 """
