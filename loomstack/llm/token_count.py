@@ -33,7 +33,7 @@ WORD_PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Characters on which normalisation is plain lower-casing and blanks are the same for all libraries.
 SAFE = r"[\t\n\x0b\x0c\r\x20-\x7e¡-¬®-įĲ-ɏ]*"
 #: Pre-tokens whose counts a worker remembers.
-CACHE = 1 << 17
+CACHE = 1 << 18
 
 
 def proved_tokens(path: str) -> frozenset[str]:
@@ -78,7 +78,7 @@ class WordTokenCounter:
         added = json.loads(self.library.to_str())["added_tokens"]
         self.added = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)")
         self.safe, self.cut = regex.compile(SAFE), regex.compile(WORD_PRETOKENS)
-        self.proved, self.known = proved, dict.fromkeys(proved, 1)
+        self.proved, self.known = proved, _Counts(proved, self.library.model)
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
@@ -88,18 +88,25 @@ class WordTokenCounter:
             return 0
         if not self.safe.fullmatch(text) or self.added.search(text):
             return self.whole(text)
-        known, pieces = self.known, self.cut.findall(text.lower())
-        try:
-            return sum(map(known.__getitem__, pieces))
-        except KeyError:
-            for p in {*pieces} - known.keys():
-                known[p] = self.whole(p)
-        n = sum(map(known.__getitem__, pieces))
-        if len(known) > CACHE + len(self.proved):
-            self.known = dict.fromkeys(self.proved, 1)
+        if len(self.known) > CACHE + len(self.proved):
+            self.known = _Counts(self.proved, self.library.model)
+        return sum(map(self.known.__getitem__, self.cut.findall(text.lower())))
+
+
+class _Counts(dict):
+    """Tokens of each pre-token: 1 for the proved ones, any other is merged by the library's model when first met."""
+
+    def __init__(self, proved: frozenset[str], model):
+        super().__init__(dict.fromkeys(proved, 1))
+        self.model = model
+
+    def __missing__(self, piece: str) -> int:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        n = self[piece] = len(self.model.tokenize(letters))
         return n
 
 
+_LETTERS = _byte_letters()
 _counters: dict[str, WordTokenCounter] = {}
 
 
