@@ -1,11 +1,58 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
+the last adds what the mix takes.  A stage decides on everything that its
+predecessor kept.  Rows with a null doc_id are told apart by their text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstack.llm import decontaminate, language_id, line_dedup, mixing, near_dup
+from loomstack.llm.common import Table
+
+#: A document below this posterior is in no known language.
+LEAST_SCORE = 0.5
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language the model knows; null texts and texts without a letter go."""
+    model = language_id.train_language_model(docs)
+    found = language_id.predict_language(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of runs of lines; documents of which nothing but blanks is left go."""
+    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD_RE))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
-#: (name, function) in order; each function takes (spark, docs, sf_dir).
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays, once."""
+    keyed = docs.withColumn("__key", _key())
+    found = near_dup.near_duplicates(keyed, id_col="__key")
+    heads = found.where("id = component_id").select(F.col("id").alias("__key")).distinct()
+    return keyed.join(heads, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by their weights: the documents taken, with their copies and words."""
+    return mixing.mix_sources(docs, mixing.cyclic_weights(docs), keep_text=True).where("copies > 0")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]
 
 #: Language ID by a trained model cannot be written as SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -13,11 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
-    from loomstack.llm.common import Table
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    before = None
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = Table(docs, f"pipeline-{i}").df
+            table = Table(docs, f"pipeline-{i}")
+            if before is not None:
+                before.drop()
+            before, docs = table, table.df
     return docs

@@ -24,6 +24,7 @@ empty tables give no match; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import mix, prefix_hash, slices, span_hash, text_buffer, word_spans
+from loomstack.llm.common import batch_udf, mix, prefix_hash, slices, span_hash, text_buffer, word_spans
 
 SHINGLE, RADIUS, SIMILARITY = 5, 18, 0.8
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -190,6 +191,10 @@ def item_blocks(items: DataFrame, id_col: str, text: str):
         yield ids, texts
 
 
+#: Indexes that a Python worker has built, by broadcast.
+_indexes: dict[str, ItemIndex] = {}
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) for every document and item with a similar window."""
     spark = docs.sparkSession
@@ -218,6 +223,23 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs`` in which no item has a similar window; one pass, no join."""
+    spark = docs.sparkSession
+    for ids, texts in item_blocks(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast((ids, texts))
+
+        def leaky(col: pa.Array, shared=shared, key=uuid.uuid4().hex) -> pa.Array:
+            index = _indexes.get(key) or _indexes.setdefault(key, ItemIndex(*shared.value))
+            out = np.zeros(len(col), bool)
+            for i, words, first in _words(col):
+                out[[i + m[0] for m in index.matches(words, first, similarity)]] = True
+            return pa.array(out)
+
+        docs = docs.where(~batch_udf(leaky, "boolean")(F.col(text)))
+    return docs
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the place and the similarity."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
