@@ -11,9 +11,9 @@
    those are merged; the longest lists are skipped.
 3. Each list first links its members to its smallest member, and only pairs
    that agree in T coordinates and whose full sets pass the exact threshold
-   count.  After components are found, only members of one list in different
-   components are paired, again by the same tests, so no link between
-   components is lost and none within one is needed.
+   count.  What that leaves open, members of one list in different components,
+   is paired by exact prefix and position filters on the full sets, so no link
+   between components is lost and pairs within one are never made.
 
 Edge cases: null, empty and blank texts have no shingles and are alone; a text
 of fewer than 5 words has one shingle; repeated rows fall into one class; null
@@ -88,6 +88,11 @@ def _sets(col: pa.Array) -> pa.Array:
     return pa.array([h[begin[i] : begin[i + 1]].tobytes() for h, begin in shingle_sets(col) for i in range(len(begin) - 1)], pa.binary())
 
 
+def _numbers(col: pa.Array) -> pa.Array:
+    n = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in col])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(n), pa.array(np.frombuffer(b"".join(col.to_pylist()), np.int64)))
+
+
 def _common(x: pa.Array, y: pa.Array) -> pa.Array:
     sets = ((np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(x, y, strict=True))
     return pa.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], pa.int64())
@@ -144,15 +149,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         found = connected_components(all_links)
     member = prefix.df.join(found.df.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    member = Table(member.join(mixed, "key", "left_semi").join(known.df.select("c", "n"), "c"), "mixed")
-    x, y = (member.df.select("key", F.col("c").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    cross = x.join(y, "key").where(fits).select("a", "b").distinct().join(first.df.select("a", "b"), ["a", "b"], "left_anti")
-    rest = Table(linked(agreeing(cross)), "links-3")
+    # Open: members of a list with more than one component.  Their sets are joined by the exact prefix and
+    # position filters: in the order of frequency, sets over the threshold share one of their n - ceil(t n) + 1
+    # rarest shingles, and what is left after a shared one bounds what they can have in common.
+    member = Table(member.join(mixed, "key", "left_semi").select("c", "component").distinct(), "open")
+    bits = sets.df.join(member.df, "c").select("c", "component", (F.length("set") / 8).cast("long").alias("n"), F.explode(batch_udf(_numbers, "array<long>")("set")).alias("s"))
+    bits = Table(bits, "open-sets")
+    often = bits.df.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    need = lambda x: F.floor((x * percent + 99) / 100).cast("long")
+    rare = bits.df.join(often, "s").groupBy("c", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("p"))
+    # The n - size(p) shingles of its own come first.
+    alone = F.col("n") - F.size("p")
+    posts = rare.select("c", "component", "n", F.posexplode(F.slice("p", 1, F.greatest(F.lit(0), F.col("n") - need(F.col("n")) + 1 - alone).cast("int"))).alias("i", "e"), alone.alias("alone"))
+    posts = Table(posts.select(F.col("e.s").alias("s"), "c", "component", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "open-prefix")
+    x, y = (posts.df.select("s", F.col("c").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("left").alias(f"l{c}")) for c in "ab")
+    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("la", "lb") * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    cross = x.join(y, (x.s == y.s) & fits).select("a", "na", "b", "nb").distinct().join(first.df.select("a", "b"), ["a", "b"], "left_anti")
+    rest = Table(linked(cross), "links-3")
     if rest.df.limit(1).count():
         found.drop()
         found = connected_components(all_links.union(rest.df))
-    for t in (prefix, first, known, sets, member, links, more, rest):
+    for t in (prefix, first, known, sets, member, bits, posts, links, more, rest):
         t.drop()
     labels = found.df.withColumnRenamed("id", "c")
     ids = classes.df.select("lo", "hi", "n", "c").join(labels, "c", "left").select("lo", "hi", "n", "c", F.coalesce("component", "c").alias("component"))
