@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     results = ["n_lines", "n_removed", "n_runs"]
     base = Table(replace_columns(docs, results).withColumn("__uid", F.monotonically_increasing_id()), "line-docs").df
     gone = repeated_lines(base.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"), F.col(text).alias("text")), min_words)
-    full = base.join(gone.withColumnRenamed("uid", "__uid").withColumnRenamed("gone", "__gone"), "__uid", "left")
+    # Compressed files of line numbers look far smaller than they are: never broadcast them on that size.
+    full = base.join(gone.withColumnRenamed("uid", "__uid").withColumnRenamed("gone", "__gone").hint("merge"), "__uid", "left")
     parts, g = F.split(F.col(text), "\n", -1), F.col("__gone")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(g, i)), "\n")
     runs = F.size(F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1) != x - 1)))
