@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("__key", _key())
     found = near_dup.near_duplicates(keyed, id_col="__key")
     heads = found.where("id = component_id").select(F.col("id").alias("__key")).distinct()
-    return keyed.join(heads, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    return keyed.join(heads.hint("merge"), "__key").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
