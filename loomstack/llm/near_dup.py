@@ -23,6 +23,8 @@ like results are replaced; texts are read whole.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ from loomstack.llm.common import Table, ascii_lower, batch_udf, mix, prefix_hash
 from loomstack.llm.graph import connected_components
 
 K, T, SHINGLE = 32, 16, 5
+#: Bits of the broadcast filter of ids (2 MB); it only spares work, so it need not grow.
+FILTER_BITS = 1 << 24
 _SEED = np.random.default_rng(5).integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 
 
@@ -88,6 +92,10 @@ def _sets(col: pa.Array) -> pa.Array:
     return pa.array([h[begin[i] : begin[i + 1]].tobytes() for h, begin in shingle_sets(col) for i in range(len(begin) - 1)], pa.binary())
 
 
+def _spot(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int")
+
+
 def _numbers(col: pa.Array) -> pa.Array:
     n = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in col])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(n), pa.array(np.frombuffer(b"".join(col.to_pylist()), np.int64)))
@@ -110,10 +118,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     # A class has K - r coordinates of its own; of its r others the r - T + 1 rarest are in the prefix.
     mine = posted.join(lists, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("p")).where(F.size("p") >= T)
-    prefix = Table(mine.select("c", F.explode(F.slice("p", 1, F.size("p") - (T - 1))).alias("e")).select("c", F.col("e.key").alias("key")), "prefix")
+    rarest = mine.select("c", F.explode(F.slice("p", 1, F.size("p") - (T - 1))).alias("e")).select("c", F.col("e.key").alias("key"))
+    # A list is split by size: sets over the threshold differ by one band at most, and each is in two neighbouring bands.
+    band = F.floor(F.ln("n") / F.lit(1.0001 * math.log(100 / min(percent, 99))))
+    tagged = rarest.join(classes.df.select("c", "n"), "c").select("c", "key", F.explode(F.array(band, band + 1)).alias("band"))
+    prefix = Table(tagged, "prefix")
     # Lists may have lost members to the prefix; those of one class are no use.
-    heads = prefix.df.groupBy("key").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("len")).where("len > 1").drop("len")
-    stars = prefix.df.join(heads, "key").where("c <> head").groupBy(F.col("head").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    heads = prefix.df.groupBy("key", "band").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("len")).where("len > 1").drop("len")
+    stars = prefix.df.join(heads, ["key", "band"]).where("c <> head").groupBy(F.col("head").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     known = Table(classes.df.join(prefix.df.select("c").distinct(), "c", "left_semi").select("c", "n", "sig"), "near-sig")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
@@ -123,7 +135,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         both = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.withColumn("same", batch_udf(_agreements, "int", 2)("sa", "sb")).where(f"same >= {T}").drop("sa", "sb")
 
-    involved = rows.join(known.df.select(F.col("c").alias("id"), "n"), "id").select(F.col("id").alias("c"), "n", batch_udf(_sets, "binary")("text").alias("set"))
+    # Only texts of these ids are shuffled: a filter of FILTER_BITS drops most others first, the join all.
+    spots = known.df.select(_spot("c").alias("p")).distinct().toArrow().column("p").to_numpy()
+    bitmap = np.zeros(FILTER_BITS, bool)
+    bitmap[spots] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def perhaps(p: pa.Array) -> pa.Array:
+        at = p.to_numpy()
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    involved = rows.where(batch_udf(perhaps, "boolean")(_spot("id"))).join(known.df.select(F.col("c").alias("id"), "n"), "id").select(F.col("id").alias("c"), "n", batch_udf(_sets, "binary")("text").alias("set"))
     sets = Table(involved.where(F.length("set") == 8 * F.col("n")).drop("n").dropDuplicates(["c"]), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -148,11 +170,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         found.drop()
         found = connected_components(all_links)
     member = prefix.df.join(found.df.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = member.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "band")
     # Open: members of a list with more than one component.  Their sets are joined by the exact prefix and
     # position filters: in the order of frequency, sets over the threshold share one of their n - ceil(t n) + 1
     # rarest shingles, and what is left after a shared one bounds what they can have in common.
-    member = Table(member.join(mixed, "key", "left_semi").select("c", "component").distinct(), "open")
+    member = Table(member.join(mixed, ["key", "band"], "left_semi").select("c", "component").distinct(), "open")
     bits = sets.df.join(member.df, "c").select("c", "component", (F.length("set") / 8).cast("long").alias("n"), F.explode(batch_udf(_numbers, "array<long>")("set")).alias("s"))
     bits = Table(bits, "open-sets")
     often = bits.df.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
