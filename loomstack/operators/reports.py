@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstack.functions.fixed import INTENTS
+from loomstack.functions.storage import Table
 from loomstack.operators.parse import language_of
 
 #: Technology by dependency names: group, name, dependencies (fixed values).
@@ -199,16 +200,21 @@ def graphml_nodes(nodes: DataFrame) -> DataFrame:
 def graphml_edges(edges: DataFrame) -> DataFrame:
     """(id, source, target, type) with ids e0, e1, ... in the order of source, target and type.
 
-    Ids are counted by ranges: rows are range-partitioned and sorted, and each
-    partition starts from the number of rows before it.
+    Rows are sorted by ranges and stored; each range's ids start from the
+    number of rows before it, a sum over as many numbers as there are ranges.
     """
     key = lambda c: F.regexp_replace(F.col(c).cast("string"), "[^a-zA-Z0-9_]", "_")
     rows = edges.select(key("src").alias("source"), key("dst").alias("target"), "type")
-    by = W.partitionBy("source").orderBy("target", "type")
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = rows.withColumn("k", F.row_number().over(by) - 1).join(before, "source")
-    return numbered.select(F.concat(F.lit("e"), (F.col("before") + F.col("k")).cast("string")).alias("id"), "source", "target", "type")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = Table(rows.repartitionByRange(n, "source", "target", "type").withColumn("part", F.spark_partition_id()), "graphml").df
+    start, upto = {}, 0
+    for part, size in sorted(ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        start[part], upto = upto, upto + size
+    if not start:
+        return rows.select(F.lit("e0").alias("id"), "source", "target", "type").limit(0)
+    before = F.create_map(*[F.lit(x).cast("long") for kv in start.items() for x in kv])[F.col("part").cast("long")]
+    k = F.row_number().over(W.partitionBy("part").orderBy("source", "target", "type")) - 1
+    return ranged.select(F.concat(F.lit("e"), (before + k).cast("string")).alias("id"), "source", "target", "type")
 
 
 def relative_paths(df: DataFrame, root: str, *columns: str) -> DataFrame:

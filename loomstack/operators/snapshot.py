@@ -78,6 +78,37 @@ def merkle(snap: DataFrame) -> DataFrame:
     return done
 
 
+_LOW = (1 << 32) - 1
+
+
+def _add(a: Column, b: Column) -> Column:
+    """a + b modulo 2**64 on signed longs, in halves so that nothing overflows."""
+    low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def combine(h1: Column, h2: Column) -> Column:
+    """h1 xor (h2 + constant + h1 shifted left by 6 + h1 shifted right by 2), modulo 2**64."""
+    return h1.bitwiseXOR(_add(_add(h2, F.lit(0x9E3779B185EBCA87 - (1 << 64))), _add(F.shiftleft(h1, 6), F.shiftrightunsigned(h1, 2))))
+
+
+def merkle_combined(snap: DataFrame) -> DataFrame:
+    """(path, hash): as ``merkle``, a folder's hash being the fold of ``combine`` over its children's; unsigned decimal."""
+    deepest = snap.agg(F.max(F.size(F.split("path", "/", -1)))).first()[0] or 0
+    parent = F.regexp_replace("path", r"/?[^/]*\z", "")
+    files = snap.select("path", F.conv("content_hash", 10, -10).cast("long").alias("hash"), F.size(F.split("path", "/", -1)).alias("depth"))
+    done, folders = files.select("path", "hash"), None
+    for d in range(deepest, 0, -1):
+        level = files.where(F.col("depth") == d).select("path", "hash")
+        if folders is not None:
+            level = level.union(folders)
+        fold = F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), F.lit(0).cast("long"), combine)
+        folders = level.groupBy(parent.alias("parent")).agg(fold.alias("hash")).select(F.col("parent").alias("path"), "hash")
+        done = done.union(folders)
+    return done.select("path", F.conv(F.col("hash").cast("string"), 10, 10).alias("hash"))
+
+
 def merkle_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paths whose Merkle hash differs or that only one side has."""
     both = old.withColumnRenamed("hash", "h0").join(new.withColumnRenamed("hash", "h1"), "path", "full")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstack.functions import fixed
-from loomstack.operators import chunks, dead_code, duplication, graph, impact, library, metrics, parse, reports, rules, search, security, snapshot
+from loomstack.operators import chunks, dead_code, duplication, graph, impact, library, metrics, parse, relations, reports, rules, search, security, snapshot
 from loomstack.plans.registry import query
 from loomstack.sources import files as src
 from loomstack.sources import fixtures as fx
@@ -641,6 +641,16 @@ def merkle(spark, d):
     return snapshot.merkle(snapshot.snapshot(fx.files(spark, d)))
 
 
+@query("merkle_combined")
+def merkle_combined(spark, d):
+    return snapshot.merkle_combined(snapshot.snapshot(fx.files(spark, d)))
+
+
+@query("relationships", WITH_CODE + r"c AS (SELECT file_path, unnest(list_distinct(regexp_extract_all(content, '(?:^|[^.\w])(\w+)\s*\(', 1))) AS object FROM files) SELECT file_path, 'calls' AS kind, object FROM c")
+def relationships(spark, d):
+    return relations.relationships(fx.code_files(spark, d), None).drop("subject")
+
+
 _EVENTS = "e AS (SELECT concat('src/f', user_id, '.ts') AS path, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'change' END AS type, ts FROM events)"
 _SESSIONS = "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS k FROM g), c AS (SELECT path, max_by(type, ts) AS type, max(ts) AS ts, count(*) AS n FROM s GROUP BY path, k)"
 

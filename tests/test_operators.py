@@ -112,11 +112,11 @@ def test_security(spark):
 
 
 def test_dead_code(spark):
-    code = "function f() {\n  return 1;\n  g();\n}\nif (a) {\n}\n// const a = 1\n// const b = 2\n// let c = 3\nconst used = 1; use(used, used);\nconst unused = 2;"
+    code = "function f() {\n  return 1;\n  g();\n  h();\n}\nif (a) {\n}\n// const a = 1\n// const b = 2\n// let c = 3\nconst used = 1; use(used, used);\nconst unused = 2;"
     f = one(spark, code)
-    assert rows(dead_code.unreachable_code(f).select("start_line", "end_line")) == [(3, 3)]
-    assert rows(dead_code.empty_blocks(f).select("line", "type")) == [(5, "if")]
-    assert rows(dead_code.commented_code(f).select("start_line", "end_line", "n")) == [(7, 9, 3)]
+    assert rows(dead_code.unreachable_code(f).select("start_line", "end_line")) == [(3, 4)]
+    assert rows(dead_code.empty_blocks(f).select("line", "type")) == [(6, "if")]
+    assert rows(dead_code.commented_code(f).select("start_line", "end_line", "n")) == [(8, 10, 3)]
     assert "unused" in {r.name for r in dead_code.unused_variables(f).collect()} and "used" not in {r.name for r in dead_code.unused_variables(f).collect()}
 
 
@@ -203,3 +203,44 @@ def test_empty_tables(spark):
     assert metrics.file_metrics(f).count() == 0 and security.vulnerabilities(f).count() == 0 and duplication.clone_windows(f).count() == 0
     assert metrics.project_summary(metrics.file_metrics(f), metrics.issues(metrics.file_metrics(f))).first().total_files == 0
     assert search.bm25(f, "x", "file_path").count() == 0
+
+
+def test_template_and_reference_edges(spark):
+    from loomstack.operators import relations
+
+    f = spark.createDataFrame([("a/App.vue", "<template><div><UserCard /><user-list/><q-btn/></div></template>"), ("a/UserCard.vue", "<template><p/></template>"), ("b/UserList.vue", "")], "file_path string, content string")
+    assert sorted((r.src, r.dst) for r in relations.template_edges(f).collect()) == [("a/App.vue", "a/UserCard.vue"), ("a/App.vue", "b/UserList.vue")]
+    code = spark.createDataFrame([("a.ts", "function alpha() {\n  return beta();\n}"), ("b.ts", "function beta() {\n  return 1;\n}")], "file_path string, content string")
+    syms = parse.symbols(parse.parse_declarations(code))
+    got = {(r.src, r.dst, r.type) for r in relations.reference_edges(parse.references(code, syms), syms).collect()}
+    assert ("b.ts", "a.ts", "uses") in got and ("b.ts:beta:0", "a.ts:alpha:0", "call") in got
+    rel = {(r.kind, r.subject, r.object) for r in relations.relationships(one(spark, "class A extends B {}\nimport x from './x'\nexport const y = f(1)")).collect()}
+    assert {("extends", "A", "B"), ("imports", "x", "./x"), ("exports", None, "y"), ("calls", None, "f")} <= rel
+
+
+def test_merkle_combined(spark):
+    def fold(hs, p=0x9E3779B185EBCA87, m=(1 << 64) - 1):
+        h = 0
+        for x in hs:
+            h = h ^ ((x + p + (h << 6) + (h >> 2)) & m)
+        return h
+
+    big = (1 << 64) - 5
+    snap = spark.createDataFrame([("a/x", str(big)), ("a/y", "7"), ("b", "9")], "path string, content_hash string")
+    got = {r.path: int(r.hash) for r in snapshot.merkle_combined(snap).collect()}
+    assert got["a"] == fold([big, 7]) and got[""] == fold([got["a"], 9])
+    assert rows(snapshot.merkle_diff(snapshot.merkle(snap), snapshot.merkle(snap))) == []
+
+
+def test_assist(spark):
+    from loomstack.operators import assist, relations
+
+    f = spark.createDataFrame([("src/a.py", "x\ny"), ("src/pages/user/[id].vue", ""), ("src/stores/u.ts", "defineStore('u', { state: () => ({ a: 1, b: 2 }), actions: { go() {} } })")], "file_path string, content string")
+    assert assist.follow_ups("find_symbol", "Foo", issues=2)[0][1] == "fix_bugs" and len(assist.follow_ups("find_symbol", "Foo", issues=2)) == 4
+    assert "3 files" in assist.narrative(f) and "src/" in assist.architecture_diagram(f)
+    assert rows(relations.stores(f).select("kind", "state")) == [("pinia", ["a", "b"])]
+    assert rows(relations.routes(f)) == [("src/pages/user/[id].vue", "/user/:id")]
+    syms = spark.createDataFrame([("go", "function")], "name string, kind string")
+    assert "test_go" in assist.test_stubs(syms, "pytest")[0]
+    e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
+    assert assist.dependency_diagram(e).splitlines() == ["[a]", "  +--> b", "  +--> c"]
