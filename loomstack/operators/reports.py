@@ -61,14 +61,14 @@ def layer_coverage(files: DataFrame) -> DataFrame:
     return by.crossJoin(files.agg(F.count(F.lit(1)).alias("t"))).select("layer", "files", F.floor(F.col("files") * 100 / F.col("t") + 0.5).cast("long").alias("percent"))
 
 
-def problems(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def problems(files: DataFrame, symbols: DataFrame, god: int = 1000, large: int = 500, crowd: int = 50, flat_most: int = 20) -> DataFrame:
     """(kind, severity, subject, value): god objects, large files, crowded files and flat folders."""
     n = F.size(F.split("content", "\n", -1)).cast("long")
     sized = files.select(F.col("file_path").alias("subject"), n.alias("value"))
     row = lambda df, kind, severity: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "subject", "value")
-    crowded = symbols.groupBy(F.col("file_path").alias("subject")).agg(F.count(F.lit(1)).alias("value")).where("value > 50")
-    flat = files.where(~F.col("file_path").rlike("/.*/")).groupBy(F.substring_index("file_path", "/", 1).alias("subject")).agg(F.count(F.lit(1)).alias("value")).where("value > 20")
-    return row(sized.where("value > 1000"), "god-object", "high").union(row(sized.where("value > 500 and value <= 1000"), "large-file", "medium")).union(row(crowded, "many-symbols", "medium")).union(row(flat, "flat-folder", "low"))
+    crowded = symbols.groupBy(F.col("file_path").alias("subject")).agg(F.count(F.lit(1)).alias("value")).where(F.col("value") > crowd)
+    flat = files.where(~F.col("file_path").rlike("/.*/")).groupBy(F.substring_index("file_path", "/", 1).alias("subject")).agg(F.count(F.lit(1)).alias("value")).where(F.col("value") > flat_most)
+    return row(sized.where(F.col("value") > god), "god-object", "high").union(row(sized.where((F.col("value") > large) & (F.col("value") <= god)), "large-file", "medium")).union(row(crowded, "many-symbols", "medium")).union(row(flat, "flat-folder", "low"))
 
 
 def architecture_pattern(files: DataFrame) -> DataFrame:

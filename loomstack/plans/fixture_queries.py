@@ -96,9 +96,10 @@ def hub_files(spark, d):
     return graph.hub_files(fx.edges(spark, d), fx.nodes(spark, d))
 
 
-@query("orphan_files", WITH_GRAPH + "x AS (SELECT 1) SELECT id, file_path AS file FROM nodes WHERE type = 'file' AND id NOT IN (SELECT src FROM edges WHERE type = 'uses') AND id NOT IN (SELECT dst FROM edges WHERE type = 'uses')")
+@query("orphan_files", WITH_GRAPH + "u AS (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 300000) SELECT id, file_path AS file FROM nodes WHERE type = 'file' AND id NOT IN (SELECT id FROM u)")
 def orphan_files(spark, d):
-    return graph.orphan_files(fx.edges(spark, d).where("type = 'uses'"), fx.nodes(spark, d))
+    edges = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 300000").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.orphan_files(edges, fx.nodes(spark, d))
 
 
 @query("impact_of", WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN edges e ON e.dst = r.id WHERE e.type = 'import' AND depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT id, file_path AS file, name, depth FROM m JOIN nodes USING (id) WHERE depth > 0")
@@ -407,9 +408,9 @@ def rule_max_file_size(spark, d):
     return engine.check(rules.Project(files=fx.files(spark, d))).select("file", "value")
 
 
-@query("rule_max_function_length", WITH_SYMBOLS + "x AS (SELECT 1) SELECT file_path AS file, name AS target, CAST(end_line - start_line AS BIGINT) AS value FROM symbols WHERE kind = 'function' AND end_line - start_line > 50")
+@query("rule_max_function_length", WITH_SYMBOLS + "x AS (SELECT 1) SELECT file_path AS file, name AS target, CAST(end_line - start_line AS BIGINT) AS value FROM symbols WHERE kind = 'function' AND end_line - start_line > 46")
 def rule_max_function_length(spark, d):
-    engine = rules.RulesEngine([r for r in rules.default_rules() if r.type == "max-function-length"])
+    engine = rules.RulesEngine([rules.Rule("long", "Long", "max-function-length", "warning", True, {"max": 46})])
     return engine.check(rules.Project(symbols=fx.symbols(spark, d))).select("file", "target", "value")
 
 
@@ -495,10 +496,10 @@ def layer_coverage(spark, d):
     return reports.layer_coverage(fx.nodes(spark, d))
 
 
-@query("project_problems", WITH_FILES + """n AS (SELECT file_path, len(string_split(content, chr(10))) AS v FROM files) SELECT 'god-object' AS kind, 'high' AS severity, file_path AS subject, v AS value FROM n WHERE v > 1000 UNION ALL SELECT 'large-file', 'medium', file_path, v FROM n WHERE v > 500 AND v <= 1000
-UNION ALL SELECT 'many-symbols', 'medium', concat('src/', replace(p_brand, '#', ''), '/', p_type, '.ts'), count(*) FROM part GROUP BY 3 HAVING count(*) > 50""")
+@query("project_problems", WITH_FILES + """n AS (SELECT file_path, len(string_split(content, chr(10))) AS v FROM files) SELECT 'god-object' AS kind, 'high' AS severity, file_path AS subject, v AS value FROM n WHERE v > 60 UNION ALL SELECT 'large-file', 'medium', file_path, v FROM n WHERE v > 20 AND v <= 60
+UNION ALL SELECT 'many-symbols', 'medium', concat('src/', replace(p_brand, '#', ''), '/', p_type, '.ts'), count(*) FROM part GROUP BY 3 HAVING count(*) > 10""")
 def project_problems(spark, d):
-    return reports.problems(fx.files(spark, d), fx.symbols(spark, d))
+    return reports.problems(fx.files(spark, d), fx.symbols(spark, d), 60, 20, 10)
 
 
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in fixed.INTENTS if p.isascii()) + " ELSE 'general' END"
