@@ -1,4 +1,4 @@
-"""Shared folder, materialised tables and Arrow/numpy text helpers.
+"""Arrow and numpy text helpers, and the tables of the shared folder.
 
 All operators work on whole texts.  Work is cut into slices of a bounded
 number of bytes; only a single text longer than the slice makes a larger one.
@@ -6,75 +6,23 @@ number of bytes; only a single text longer than the slice makes a larger one.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-_tables: list[tuple[SparkSession, str]] = []
+from loomstack.functions.storage import Table, delete, shared_dir  # noqa: F401 - used through this module
 
 #: Words are maximal runs of bytes other than space, \t, \n, \v, \f, \r.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests, local mode) a folder of
-    this process is made.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="loomstack-")
-    return _own_dir
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Table:
-    """A table written to the shared folder; lineage ends here."""
-
-    def __init__(self, df: DataFrame, tag: str, mode: str = "parquet"):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _tables.append((self.spark, self.path))
-
-    def drop(self) -> None:
-        """Delete the files once no later step reads them."""
-        _delete(self.spark, self.path)
-        _tables.remove((self.spark, self.path))
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _tables:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone at exit
-            return
-
-
 def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that the operator is about to add."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
-
 def batch_udf(f, schema: str, inputs: int = 1):
     """A scalar Arrow UDF from a function of one or more arrays.
 
@@ -90,10 +38,8 @@ def batch_udf(f, schema: str, inputs: int = 1):
     over.__annotations__ = {"batches": Iterator[kind], "return": Iterator[pa.Array]}
     return F.arrow_udf(over, schema).asNondeterministic()
 
-
 # --- texts in Arrow arrays ---------------------------------------------------
 
-
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 byte offsets of a string array; null counts as empty."""
     if col.null_count:
@@ -108,7 +54,6 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-
 def slices(offsets: np.ndarray, most: int = 1 << 20):
     """(first, last + 1) ranges of rows of about ``most`` bytes, at least one row each."""
     n, i = len(offsets) - 1, 0
@@ -117,7 +62,6 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         yield i, j
         i = j
 
-
 # --- 64-bit hashing ----------------------------------------------------------
 
 _U = np.uint64
@@ -126,7 +70,6 @@ _BINV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (xor-shift and multiply)."""
     x = x ^ (x >> _U(30))
@@ -136,7 +79,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     x ^= x >> _U(31)
     return x
 
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
         for k, b in enumerate((_BASE, _BINV)):
@@ -145,7 +87,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             _pow[k] = np.multiply.accumulate(a)
     return _pow[0][:n], _pow[1][:n]
 
-
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """P with P[i] = sum of byte values times powers up to i, mod 2**64."""
     up, _ = _powers(len(buf) + 1)
@@ -153,17 +94,14 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=out[1:])
     return out
 
-
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the byte ranges [start, end); equal bytes give equal hashes."""
     _, down = _powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-
 def word_spans(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE):
     """Starts and ends of words, and for each text the index of its first word (n + 1)."""
     if not len(buf):
@@ -178,19 +116,15 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE):
     ends = np.flatnonzero(~gap & edge[1:]) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-
 def ascii_lower(buf: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return _LOWER[buf]
 
-
 _STEP = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 
-
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5):
     """Hashes of k-word shingles, in order, and for each text where its own begin (n + 1).
 

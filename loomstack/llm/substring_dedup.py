@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import Table, _delete, prefix_hash, shared_dir, span_hash, text_buffer
+from loomstack.llm.common import Table, delete, prefix_hash, shared_dir, span_hash, text_buffer
 
 LENGTH, TRIGGER = 100, 50
 #: Bytes of a chunk: at least, and at most; about 1 / CHUNKS of the corpus between.
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = Table(each(removed, schema, one, two), "substrings")
     one.drop(), two.drop()
     spark.sql(f"DROP TABLE {name}")
-    _delete(spark, path)
+    delete(spark, path)
     return out.df
 
 
