@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import Table, delete, prefix_hash, shared_dir, span_hash, text_buffer
+from loomstack.llm.common import Table, delete, mix, prefix_hash, shared_dir, span_hash, text_buffer
 
 LENGTH, TRIGGER = 100, 50
 #: Bytes of a chunk: at least, and at most; about 1 / CHUNKS of the corpus between.
@@ -147,7 +147,8 @@ class _Chunk:
         self.ids, self.off, self.buf, self.parts = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64), np.frombuffer(data, np.uint8), parts
         self.trigger, self.phrase, self.first, self.stop = parse(self.buf, self.off)
         self.heads, self.of = _first(self.phrase, self.trigger)
-        self.deal = _deal(self.trigger[self.heads], parts)
+        # Triggers are least hashes, most of them small: mixed again they spread evenly.
+        self.deal = _deal(mix(self.trigger[self.heads]), parts)
 
     def places(self, at: np.ndarray):
         """Document id, index in the chunk and start in the document of byte positions."""
