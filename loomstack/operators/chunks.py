@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstack.operators.parse import parse_declarations
+
 MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 512, 64, 50
 _RUNS = r"[ \t]+|[\r\n]|[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*|[0-9][0-9.]*|[\s\S]"
 
@@ -88,3 +93,101 @@ def logical_chunks(files: DataFrame, most_chars: int = 4000) -> DataFrame:
     found = files.select("file_path", rows.alias("ls"), F.posexplode(F.when(F.length("content") <= most_chars, whole).otherwise(F.aggregate(rows, zero, step, last))).alias("chunk", "c"))
     name = F.regexp_extract(F.get("ls", F.col("c.start")), r"(?:function|class|def|interface|enum|type|const|func|fn|struct|trait|impl|module)\s+(\w+)", 1)
     return found.select("file_path", "chunk", (F.col("c.start") + 1).alias("start_line"), (F.col("c.end") + 1).alias("end_line"), name.alias("name"))
+
+
+# --- the byte-based estimate, boundaries and chunks along them ------------------
+
+_BYTE_RUNS = r"[ \t\x0b\f]+|[\r\n]|[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*|[0-9][0-9.eExX+\-a-fA-F]*|(?:==|!=|<=|>=|&&|\|\||=>|->|::|\+\+|--|\+=|-=|\*=|/=)=?|[\s\S]"
+
+
+def _runs(text: Column) -> Column:
+    """(size in tokens, characters) of each run of the byte-based estimate."""
+
+    def one(run: Column) -> Column:
+        n = F.octet_length(run)
+        size = F.when(run.rlike(r"^[A-Za-z_\x{80}-\x{10FFFF}]"), F.ceil(n / 4)).when(run.rlike(r"^[0-9]"), F.ceil(n / 3)).otherwise(1).cast("int")
+        return F.struct(size.alias("n"), F.length(run).alias("chars"))
+
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_BYTE_RUNS), F.lit(0)), one)
+
+
+def count_tokens_bytes(text: Column) -> Column:
+    """As ``count_tokens``, with words measured in bytes, operators of two or three signs as one, and hex and exponents in numbers."""
+    return F.aggregate(_runs(text), F.lit(0), lambda a, r: a + r["n"])
+
+
+def encode(text: Column) -> Column:
+    """Numbers 0, 1, ... for the tokens of a text; there is no vocabulary."""
+    n = count_tokens_bytes(text)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def token_boundary(text: Column, most: int) -> Column:
+    """Characters of the longest beginning of whole runs that has at most ``most`` tokens."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("on"))
+
+    def step(a: Column, r: Column) -> Column:
+        on = a["on"] & (a["n"] + r["n"] <= most)
+        return F.struct(F.when(on, a["n"] + r["n"]).otherwise(a["n"]).alias("n"), F.when(on, a["chars"] + r["chars"]).otherwise(a["chars"]).alias("chars"), on.alias("on"))
+
+    return F.aggregate(_runs(text), zero, step, lambda a: a["chars"])
+
+
+def _fnv1a64(texts: pa.Array) -> pa.Array:
+    """One step for the k-th byte of all texts at a time, the longest texts first."""
+    raw = [t.encode() for t in texts.to_pylist()]
+    order = np.argsort([-len(r) for r in raw], kind="stable")
+    size = np.array([len(raw[i]) for i in order], np.int64)
+    data = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64)
+    start = np.cumsum(size) - size
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    for k in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k, "left"))
+        h[:n] = (h[:n] ^ data[start[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), object)
+    out[order] = [str(x) for x in h]
+    return pa.array(out.tolist(), pa.string())
+
+
+def fnv1a64(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes as an unsigned decimal string (no built-in form: 64-bit products overflow)."""
+
+    def hashes(texts: pa.Array) -> pa.Array:
+        return _fnv1a64(texts)
+
+    hashes.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(hashes, "string")(F.coalesce(text, F.lit("")))
+
+
+def boundaries(files: DataFrame) -> DataFrame:
+    """(file_path, line, type, name, depth): lines that begin a declaration or an import, with the depth of braces before them."""
+    found = parse_declarations(files).select("file_path", F.col("start_line").alias("i"), "type", "name")
+    rows = F.split("content", "\n", -1)
+    imports = files.select("file_path", F.posexplode(rows).alias("i", "s")).where(F.col("s").rlike(r"^\s*(import|from|use|using|#include|require)(?![A-Za-z0-9_])"))
+    both = found.union(imports.select("file_path", "i", F.lit("import"), F.lit(None).cast("string")))
+    net = lambda s: F.length(F.replace(s, F.lit("}"), F.lit(""))) - F.length(F.replace(s, F.lit("{"), F.lit("")))
+    depth = F.aggregate(F.slice(rows, F.lit(1), F.col("i")), F.lit(0), lambda a, s: F.greatest(F.lit(0), a + net(s)))
+    return both.join(files.select("file_path", "content"), "file_path").select("file_path", (F.col("i") + 1).alias("line"), "type", "name", depth.alias("depth"))
+
+
+def boundary_chunks(files: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """(file_path, chunk, type, name, start_line, end_line, tokens, hash, content): regions between declarations; a
+    region of more than ``most`` tokens is cut by lines as in ``sliding_chunks``; blank regions are dropped.
+    """
+    marks = boundaries(files).where("type <> 'import'").groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line", "type", "name"))).alias("marks"))
+    rows = files.join(marks, "file_path", "left").select("file_path", F.split("content", "\n", -1).alias("ls"), F.coalesce("marks", F.array().cast("array<struct<line:int,type:string,name:string>>")).alias("marks"))
+    head = F.struct(F.lit(1).alias("line"), F.lit("unknown").alias("type"), F.lit(None).cast("string").alias("name"))
+    marks = F.when(F.get("marks", 0)["line"] == 1, F.col("marks")).otherwise(F.concat(F.array(head), F.col("marks")))
+    parts = rows.withColumn("marks", marks).select("file_path", "ls", "marks", F.posexplode("marks").alias("k", "m"))
+    end = F.coalesce(F.get("marks", F.col("k") + 1)["line"] - 1, F.size("ls"))
+    regions = parts.select(F.col("file_path").alias("path"), "k", "m.type", "m.name", F.col("m.line").alias("first"), F.array_join(F.slice("ls", F.col("m.line"), end - F.col("m.line") + 1), "\n").alias("content")).where(F.col("content").rlike(r"\S"))
+    keyed = regions.withColumn("file_path", F.concat_ws("\u0000", "path", F.col("k").cast("string")))
+    pieces = sliding_chunks(keyed, most, 1, overlap).withColumnRenamed("content", "piece")
+    out = pieces.join(keyed.drop("content"), "file_path")
+    order = F.row_number().over(W.partitionBy("path").orderBy("k", "chunk")) - 1
+    shift = lambda c: (F.col(c) + F.col("first") - 1).alias(c)
+    return out.select(F.col("path").alias("file_path"), order.alias("chunk"), "type", "name", shift("start_line"), shift("end_line"), "tokens", fnv1a64(F.col("piece")).alias("hash"), F.col("piece").alias("content"))
+
+
+#: Chunk type by declaration type.
+CHUNK_TYPES = {"function_declaration": "function", "class_declaration": "class", "interface_declaration": "interface", "struct_declaration": "struct", "trait_declaration": "trait", "type_alias_declaration": "type", "module_declaration": "module", "impl_declaration": "impl", "variable_declaration": "block", "import": "import"}

@@ -81,7 +81,7 @@ def merkle(snap: DataFrame) -> DataFrame:
 _LOW = (1 << 32) - 1
 
 
-def _add(a: Column, b: Column) -> Column:
+def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2**64 on signed longs, in halves so that nothing overflows."""
     low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
     high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
@@ -90,7 +90,7 @@ def _add(a: Column, b: Column) -> Column:
 
 def combine(h1: Column, h2: Column) -> Column:
     """h1 xor (h2 + constant + h1 shifted left by 6 + h1 shifted right by 2), modulo 2**64."""
-    return h1.bitwiseXOR(_add(_add(h2, F.lit(0x9E3779B185EBCA87 - (1 << 64))), _add(F.shiftleft(h1, 6), F.shiftrightunsigned(h1, 2))))
+    return h1.bitwiseXOR(add64(add64(h2, F.lit(0x9E3779B185EBCA87 - (1 << 64))), add64(F.shiftleft(h1, 6), F.shiftrightunsigned(h1, 2))))
 
 
 def merkle_combined(snap: DataFrame) -> DataFrame:

@@ -581,6 +581,20 @@ def count_tokens(spark, d):
     return fx.files(spark, d).select("file_path", chunks.count_tokens(F.col("content")).alias("tokens"))
 
 
+_TOKB = r"""list_sum(list_transform(regexp_extract_all(content, '[ \t\x0b\f]+|[\r\n]|[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*|[0-9][0-9.eExX+\-a-fA-F]*|(?:==|!=|<=|>=|&&|\|\||=>|->|::|\+\+|--|\+=|-=|\*=|/=)=?|(?s:.)'),
+  lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z_\x{80}-\x{10FFFF}]') THEN ceil(octet_length(encode(r)) / 4.0) WHEN regexp_matches(r, '^[0-9]') THEN ceil(octet_length(encode(r)) / 3.0) ELSE 1 END))"""
+
+
+@query("count_tokens_bytes", WITH_PAGES + f"x AS (SELECT 1) SELECT file_path, CAST(coalesce({_TOKB}, 0) AS INT) AS tokens FROM files")
+def count_tokens_bytes(spark, d):
+    return fx.page_files(spark, d).select("file_path", chunks.count_tokens_bytes(F.col("content")).alias("tokens"))
+
+
+@query("boundary_chunks")
+def boundary_chunks(spark, d):
+    return chunks.boundary_chunks(fx.code_files(spark, d)).drop("content")
+
+
 @query("sliding_chunks")
 def sliding_chunks(spark, d):
     return chunks.sliding_chunks(fx.files(spark, d)).drop("content")
@@ -678,6 +692,11 @@ def watch_counters(spark, d):
     return watch.counters(events(spark, d)).drop("last_change")
 
 
+@query("watched_files")
+def watched_files(spark, d):
+    return watch.watched_files(events(spark, d))
+
+
 @query("glob_match", f"WITH files AS ({fx.FILES_SQL}) SELECT file_path, regexp_matches(file_path, '^fr/.*/doc_[^/]*1\\.txt$') AS hit FROM files")
 def glob_match(spark, d):
     return fx.files(spark, d).select("file_path", src.any_glob(F.col("file_path"), ["fr/**/doc_*1.txt"]).alias("hit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstack.sources.files import is_ignored
@@ -45,3 +46,15 @@ def counters(events: DataFrame) -> DataFrame:
     """(total, added, changed, deleted, last_change)."""
     n = lambda t: F.count_if(F.col("type") == t)
     return events.agg(F.count(F.lit(1)).alias("total"), n("add").alias("added"), n("change").alias("changed"), n("delete").alias("deleted"), F.max("ts").alias("last_change"))
+
+
+def watched_files(events: DataFrame) -> DataFrame:
+    """(root, ts, watched): files watched after each event of a top folder; an add counts 1, a delete -1, never below 0.
+
+    The clamped sum is the running sum less its least value so far, if negative.
+    """
+    root = F.substring_index("path", "/", 1)
+    order = W.partitionBy("root").orderBy("ts", "path").rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("type") == "add", 1).when(F.col("type") == "delete", -1).otherwise(0)
+    sums = events.select(root.alias("root"), "ts", "path", step.alias("d")).withColumn("s", F.sum("d").over(order))
+    return sums.select("root", "ts", (F.col("s") - F.least(F.lit(0), F.min("s").over(order))).alias("watched"))

@@ -244,3 +244,32 @@ def test_assist(spark):
     assert "test_go" in assist.test_stubs(syms, "pytest")[0]
     e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
     assert assist.dependency_diagram(e).splitlines() == ["[a]", "  +--> b", "  +--> c"]
+
+
+def test_byte_tokens_and_hash(spark):
+    one_value = lambda c: spark.range(1).select(c).first()[0]
+    assert one_value(chunks.count_tokens_bytes(F.lit("a === 0x1F;\n"))) == 8
+    assert one_value(chunks.token_boundary(F.lit("ab cd ef"), 3)) == 5
+    assert one_value(chunks.encode(F.lit("ab cd"))) == [0, 1, 2] and one_value(chunks.encode(F.lit(""))) == []
+
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 & ((1 << 64) - 1)
+        return h
+
+    for s in ("", "a", "foobar é日本", "x" * 300):
+        assert int(one_value(chunks.fnv1a64(F.lit(s)))) == fnv(s.encode())
+
+
+def test_boundary_chunks(spark):
+    code = "import a from './a'\n\nfunction f() {\n  return 1;\n}\nclass B {\n  go() {}\n}\n"
+    got = chunks.boundary_chunks(one(spark, code)).orderBy("chunk").collect()
+    assert [(r.type, r.name, r.start_line, r.end_line) for r in got] == [("unknown", None, 1, 2), ("function_declaration", "f", 3, 5), ("class_declaration", "B", 6, 6), ("function_declaration", "go", 7, 9)]
+    assert {(r.line, r.type, r.depth) for r in chunks.boundaries(one(spark, code)).collect()} == {(1, "import", 0), (3, "function_declaration", 0), (6, "class_declaration", 0), (7, "function_declaration", 1)}
+
+
+def test_watched_files(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    ev = spark.createDataFrame([(t, "src/a.ts", at(i)) for i, t in enumerate(["delete", "add", "add", "delete", "delete", "delete", "add"])], "type string, path string, ts timestamp")
+    assert [r.watched for r in watch.watched_files(ev).orderBy("ts").collect()] == [0, 1, 2, 1, 0, 0, 1]
