@@ -15,6 +15,9 @@ end, at each line, so doubling ends at ``min_words`` lines.
 Names are places of first occurrence and not sorted ranks: equality is all
 that deletion needs, and no global order of suffixes has to be kept.
 
+Tables of places and names compress to far less than they are in memory, so
+joins with them are told to sort and merge, never to broadcast by file size.
+
 Edge cases: null and empty texts have no lines and stay as they are; lines
 without a word are neither matched nor deleted; lines are compared exactly;
 repeated rows count as later copies; null ids come first; columns named like
@@ -38,8 +41,12 @@ def _place() -> Column:
 
 def _named(rows: DataFrame, key: list[str], tag: str) -> Table:
     """Rows whose key repeats, with the first place (fu, fl) of the key."""
-    first = rows.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.col("f.uid").alias("fu"), F.col("f.line").alias("fl"))
-    return Table(rows.join(first, key).drop(*key), tag)
+    repeated = rows.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.col("f.uid").alias("fu"), F.col("f.line").alias("fl"))
+    # A table, not an aggregate, so that Spark can split the places of a frequent key over tasks.
+    first = Table(repeated, f"{tag}-first")
+    out = Table(rows.join(first.df.hint("merge"), key).drop(*key), tag)
+    first.drop()
+    return out
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -55,7 +62,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     while step * 2 <= min_words:
         low = levels[-1].df
         half = low.select("uid", (F.col("line") - step).alias("line"), F.col("fu").alias("gu"), F.col("fl").alias("gl"))
-        pairs = low.select("uid", "id", "line", F.col("fu").alias("eu"), F.col("fl").alias("el")).join(half, ["uid", "line"])
+        pairs = low.select("uid", "id", "line", F.col("fu").alias("eu"), F.col("fl").alias("el")).join(half.hint("merge"), ["uid", "line"])
         levels.append(_named(pairs, ["eu", "el", "gu", "gl"], f"lines-{2 * step}"))
         step *= 2
     # The shortest runs of enough words that start, or end, at a line; only lines that repeat can be in one.
@@ -76,13 +83,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         mine = runs.df.where((F.col("n") >= size) & (F.col("n") < 2 * size))
         name = level.df.select("uid", "line", "fu", "fl")
         tail = name.select("uid", F.col("line").alias("tail"), F.col("fu").alias("gu"), F.col("fl").alias("gl"))
-        both = mine.join(name, ["uid", "line"]).withColumn("tail", F.col("line") + F.col("n") - size).join(tail, ["uid", "tail"])
+        both = mine.join(name.hint("merge"), ["uid", "line"]).withColumn("tail", F.col("line") + F.col("n") - size).join(tail.hint("merge"), ["uid", "tail"])
         key = ["n", "fu", "fl", "gu", "gl"]
         first = both.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select(*key, F.col("f.uid").alias("ou"), F.col("f.line").alias("ol"))
-        again = both.join(first, key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
+        again = both.join(Table(first, "runs-first").df.hint("merge"), key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
         hits = again if hits is None else hits.union(again)
     gone = hits.select("uid", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line")).distinct()
-    numbers = gone.join(base.select("uid", "line", "no"), ["uid", "line"]).groupBy("uid").agg(F.sort_array(F.collect_list("no")).alias("gone"))
+    numbers = gone.join(base.select("uid", "line", "no").hint("merge"), ["uid", "line"]).groupBy("uid").agg(F.sort_array(F.collect_list("no")).alias("gone"))
     return Table(numbers, "gone").df
 
 
@@ -94,7 +101,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     results = ["n_lines", "n_removed", "n_runs"]
     base = Table(replace_columns(docs, results).withColumn("__uid", F.monotonically_increasing_id()), "line-docs").df
     gone = repeated_lines(base.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"), F.col(text).alias("text")), min_words)
-    # Compressed files of line numbers look far smaller than they are: never broadcast them on that size.
     full = base.join(gone.withColumnRenamed("uid", "__uid").withColumnRenamed("gone", "__gone").hint("merge"), "__uid", "left")
     parts, g = F.split(F.col(text), "\n", -1), F.col("__gone")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(g, i)), "\n")
