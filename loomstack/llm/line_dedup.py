@@ -77,7 +77,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = reach.select("uid", "id", "line", last.alias("last"), start.alias("start"))
     runs = spans.where("last is not null").select("uid", "id", "line", (F.col("last") - F.col("line") + 1).alias("n")).union(spans.where("start is not null").select("uid", "id", F.col("start").alias("line"), (F.col("line") - F.col("start") + 1).alias("n"))).distinct()
     runs = Table(runs, "runs")
-    hits = None
+    hits, firsts = None, []
     for k, level in enumerate(levels):
         size = 1 << k
         mine = runs.df.where((F.col("n") >= size) & (F.col("n") < 2 * size))
@@ -86,11 +86,15 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = mine.join(name.hint("merge"), ["uid", "line"]).withColumn("tail", F.col("line") + F.col("n") - size).join(tail.hint("merge"), ["uid", "tail"])
         key = ["n", "fu", "fl", "gu", "gl"]
         first = both.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select(*key, F.col("f.uid").alias("ou"), F.col("f.line").alias("ol"))
-        again = both.join(Table(first, "runs-first").df.hint("merge"), key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
+        firsts.append(Table(first, "runs-first"))
+        again = both.join(firsts[-1].df.hint("merge"), key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
         hits = again if hits is None else hits.union(again)
     gone = hits.select("uid", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line")).distinct()
     numbers = gone.join(base.select("uid", "line", "no").hint("merge"), ["uid", "line"]).groupBy("uid").agg(F.sort_array(F.collect_list("no")).alias("gone"))
-    return Table(numbers, "gone").df
+    out = Table(numbers, "gone")
+    for t in (*levels, runs, *firsts):
+        t.drop()
+    return out.df
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
