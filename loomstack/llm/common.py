@@ -54,7 +54,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def slices(offsets: np.ndarray, most: int = 1 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """(first, last + 1) ranges of rows of about ``most`` bytes, at least one row each."""
     n, i = len(offsets) - 1, 0
     while i < n:
