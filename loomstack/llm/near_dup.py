@@ -115,17 +115,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = Table(rows.select("id", batch_udf(_signatures, "n long, lo long, hi long, sig binary")("text").alias("s")).select("id", "s.*"), "signed")
     classes = Table(signed.df.where("n > 0").groupBy("lo", "hi", "n").agg(F.min("id").alias("c"), F.first("sig").alias("sig")).where("c is not null"), "classes")
     posted = classes.df.select("c", F.explode(batch_udf(_postings, "array<long>")("sig")).alias("key"))
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    # Tables, not aggregates, so that Spark can split the members of a long list over tasks.
+    lists = Table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lists")
     # A class has K - r coordinates of its own; of its r others the r - T + 1 rarest are in the prefix.
-    mine = posted.join(lists, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("p")).where(F.size("p") >= T)
+    mine = posted.join(lists.df.hint("merge"), "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("p")).where(F.size("p") >= T)
     rarest = mine.select("c", F.explode(F.slice("p", 1, F.size("p") - (T - 1))).alias("e")).select("c", F.col("e.key").alias("key"))
     # A list is split by size: sets over the threshold differ by one band at most, and each is in two neighbouring bands.
     band = F.floor(F.ln("n") / F.lit(1.0001 * math.log(100 / min(percent, 99))))
     tagged = rarest.join(classes.df.select("c", "n"), "c").select("c", "key", F.explode(F.array(band, band + 1)).alias("band"))
     prefix = Table(tagged, "prefix")
     # Lists may have lost members to the prefix; those of one class are no use.
-    heads = prefix.df.groupBy("key", "band").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("len")).where("len > 1").drop("len")
-    stars = prefix.df.join(heads, ["key", "band"]).where("c <> head").groupBy(F.col("head").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    heads = Table(prefix.df.groupBy("key", "band").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("len")).where("len > 1").drop("len"), "heads")
+    stars = prefix.df.join(heads.df.hint("merge"), ["key", "band"]).where("c <> head").groupBy(F.col("head").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     known = Table(classes.df.join(prefix.df.select("c").distinct(), "c", "left_semi").select("c", "n", "sig"), "near-sig")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
@@ -170,16 +171,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         found.drop()
         found = connected_components(all_links)
     member = prefix.df.join(found.df.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = member.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "band")
+    mixed = Table(member.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "band"), "mixed")
     # Open: members of a list with more than one component.  Their sets are joined by the exact prefix and
     # position filters: in the order of frequency, sets over the threshold share one of their n - ceil(t n) + 1
     # rarest shingles, and what is left after a shared one bounds what they can have in common.
-    member = Table(member.join(mixed, ["key", "band"], "left_semi").select("c", "component").distinct(), "open")
+    member = Table(member.join(mixed.df.hint("merge"), ["key", "band"], "left_semi").select("c", "component").distinct(), "open")
     bits = sets.df.join(member.df, "c").select("c", "component", (F.length("set") / 8).cast("long").alias("n"), F.explode(batch_udf(_numbers, "array<long>")("set")).alias("s"))
     bits = Table(bits, "open-sets")
-    often = bits.df.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    often = Table(bits.df.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "open-often")
     need = lambda x: F.floor((x * percent + 99) / 100).cast("long")
-    rare = bits.df.join(often, "s").groupBy("c", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("p"))
+    rare = bits.df.join(often.df.hint("merge"), "s").groupBy("c", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("p"))
     # The n - size(p) shingles of its own come first.
     alone = F.col("n") - F.size("p")
     posts = rare.select("c", "component", "n", F.posexplode(F.slice("p", 1, F.greatest(F.lit(0), F.col("n") - need(F.col("n")) + 1 - alone).cast("int"))).alias("i", "e"), alone.alias("alone"))
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if rest.df.limit(1).count():
         found.drop()
         found = connected_components(all_links.union(rest.df))
-    for t in (prefix, first, known, sets, member, bits, posts, links, more, rest):
+    for t in (lists, prefix, heads, first, known, sets, mixed, member, bits, often, posts, links, more, rest):
         t.drop()
     labels = found.df.withColumnRenamed("id", "c")
     ids = classes.df.select("lo", "hi", "n", "c").join(labels, "c", "left").select("lo", "hi", "n", "c", F.coalesce("component", "c").alias("component"))
