@@ -76,37 +76,37 @@ def mix_sources(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", tex
     weigh = weights.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__key"), F.col("weight").cast("double").alias("weight"))
     sources = source_targets(Table(sizes.join(weigh, "__key", "left").fillna(0.0, ["weight"]), "mix-sources").df, max_repeat)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("whole", F.floor(ratio)).withColumn("f", ratio - F.col("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    u, f = F.col("__u"), F.col("f")
+    sources = sources.withColumn("__whole", F.floor(ratio)).withColumn("__f", ratio - F.col("__whole")).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")).drop("weight")
+    u, f = F.col("__u"), F.col("__f")
     q = (u * (1 - f)) / ((1 - u) * f)
     spot = F.col("__q") / (1 + F.col("__q")) * BINS
     ranked = base.withColumn("__key", key).join(sources, "__key").withColumn("__q", F.when(f > 0, q)).withColumn("__b1", F.floor(spot)).withColumn("__b2", F.floor((spot - F.col("__b1")) * BINS))
 
     def cut(rows: DataFrame, bin_col: str, name: str) -> DataFrame:
         """For each source, the bin in which the words reach ``need``, and the words before it."""
-        sums = rows.where(F.col(bin_col).isNotNull()).groupBy("__key", "need", bin_col).agg(F.sum("size").alias("n"))
+        sums = rows.where(F.col(bin_col).isNotNull()).groupBy("__key", "__need", bin_col).agg(F.sum("size").alias("n"))
         done = F.sum("n").over(W.partitionBy("__key").orderBy(bin_col))
-        reach = sums.withColumn("done", done).where(F.col("done") >= F.col("need"))
+        reach = sums.withColumn("done", done).where(F.col("done") >= F.col("__need"))
         return reach.groupBy("__key").agg(F.min_by(F.struct(F.col(bin_col).alias("bin"), (F.col("done") - F.col("n")).alias("before")), bin_col).alias(name))
 
-    c1 = cut(ranked, "__b1", "c1")
-    at1 = ranked.join(c1, "__key").where(F.col("__b1") == F.col("c1.bin")).withColumn("need", F.col("need") - F.col("c1.before"))
-    c2 = cut(at1, "__b2", "c2")
-    last = at1.join(c2, "__key").where(F.col("__b2") == F.col("c2.bin")).withColumn("need", F.col("need") - F.col("c2.before"))
+    c1 = cut(ranked, "__b1", "__c1")
+    at1 = ranked.join(c1, "__key").where(F.col("__b1") == F.col("__c1.bin")).withColumn("__need", F.col("__need") - F.col("__c1.before"))
+    c2 = cut(at1, "__b2", "__c2")
+    last = at1.join(c2, "__key").where(F.col("__b2") == F.col("__c2.bin")).withColumn("__need", F.col("__need") - F.col("__c2.before"))
     run = F.sum("size").over(W.partitionBy("__key").orderBy("__q", id_col, "size").rowsBetween(W.unboundedPreceding, 0))
-    inner = last.withColumn("run", run).where((F.col("run") <= F.col("need")) | (F.col("run") - F.col("need") < F.col("need") - F.col("run") + F.col("size")))
+    inner = last.withColumn("__run", run).where((F.col("__run") <= F.col("__need")) | (F.col("__run") - F.col("__need") < F.col("__need") - F.col("__run") + F.col("size")))
     # The last row taken of each source, in the order (q, id, size), is the whole decision.
-    ends = inner.groupBy("__key").agg(F.max(F.struct("__q", F.col(id_col).alias("id"), "size")).alias("end"))
+    ends = inner.groupBy("__key").agg(F.max(F.struct("__q", F.col(id_col).alias("id"), "size")).alias("__end"))
     cuts = Table(c1.join(c2, "__key", "left").join(ends, "__key", "left"), "mix-cuts").df
     here = F.struct("__q", F.col(id_col).alias("id"), "size")
     drawn = (
-        F.when(F.col("__q").isNull() | (F.col("need") <= 0), False)
-        .when(F.col("c1.bin").isNull() | (F.col("__b1") < F.col("c1.bin")), True)
-        .when(F.col("__b1") > F.col("c1.bin"), False)
-        .when(F.col("__b2") != F.col("c2.bin"), F.col("__b2") < F.col("c2.bin"))
-        .otherwise(F.coalesce(here <= F.col("end"), F.lit(False)))
+        F.when(F.col("__q").isNull() | (F.col("__need") <= 0), False)
+        .when(F.col("__c1.bin").isNull() | (F.col("__b1") < F.col("__c1.bin")), True)
+        .when(F.col("__b1") > F.col("__c1.bin"), False)
+        .when(F.col("__b2") != F.col("__c2.bin"), F.col("__b2") < F.col("__c2.bin"))
+        .otherwise(F.coalesce(here <= F.col("__end"), F.lit(False)))
     )
-    out = ranked.join(cuts, "__key", "left").withColumn("copies", (F.col("whole") + drawn.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = ranked.join(cuts, "__key", "left").withColumn("copies", (F.col("__whole") + drawn.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*[c for c in kept.columns if c != "__text"], *RESULTS)
 
 

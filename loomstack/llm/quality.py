@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomstack.llm.common import WORD_RE, replace_columns
 
 #: Rows of the sample on which cost and selectivity are estimated, and the longest text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 256, 1 << 20
+SAMPLE_ROWS, SAMPLE_CHARS = 256, 1 << 17
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

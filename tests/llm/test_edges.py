@@ -34,7 +34,7 @@ def test_mixing(spark, odd, none):
     assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
     assert {r.source: r.target for r in rows}["a"] == 0
     assert mixing.mix_sources(none, mixing.cyclic_weights(none)).count() == 0
-    clash = odd.withColumn("size", F.lit("x")).withColumn("taken", F.lit("y"))
+    clash = odd.withColumns({c: F.lit("x") for c in ("size", "taken", "weight", "f", "whole", "need", "end", "run", "c1", "Copies")})
     assert dict(mixing.mix_sources(clash, mixing.cyclic_weights(clash), keep_text=True).dtypes)["taken"] == "bigint"
 
 
