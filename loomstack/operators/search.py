@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstack.functions.fixed import BM25_B, BM25_K1, STOP_WORDS, TOKEN_GAP
+from loomstack.functions.storage import Table
 
 
 def tokenize(text: Column) -> Column:
     """Tokens of a text: parts of camelCase and snake_case words, then the word itself, lower-cased, without stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), TOKEN_GAP, -1), lambda w: F.length(w) >= 2)
 
     def of_word(w: Column) -> Column:
         spaced = F.regexp_replace(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
         parts = F.transform(F.split(spaced, r"[\s_]", -1), F.lower)
-        good = F.filter(parts, lambda p: (F.length(p) >= 2) & ~F.array_contains(stop, p) & ~p.rlike(r"^\d+\z"))
+        good = F.filter(parts, lambda p: (F.length(p) >= 2) & ~p.isin(STOP_WORDS) & ~p.rlike(r"^\d+\z"))
         whole = F.lower(w)
-        return F.concat(good, F.when((F.length(whole) >= 2) & ~F.array_contains(stop, whole), F.array(whole)).otherwise(F.array().cast("array<string>")))
+        return F.concat(good, F.when((F.length(whole) >= 2) & ~whole.isin(STOP_WORDS), F.array(whole)).otherwise(F.array().cast("array<string>")))
 
     return F.flatten(F.transform(raw, of_word))
 
@@ -35,13 +35,14 @@ def bm25(docs: DataFrame, question: str, id_col: str = "doc_id", text: str = "co
 
     The postings of the question's tokens are found while tokenising, so the
     full inverted index is never shuffled; only documents that match are.
+    Lengths and hits are a narrow table, so texts are tokenised once.
     """
     spark = docs.sparkSession
     asked = spark.range(1).select(F.explode(tokenize(F.lit(question))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     tokens = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text)).alias("tokens"))
     words = [r[0] for r in asked.select("token").collect()]
     among = F.filter("tokens", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
-    sized = tokens.select("doc_id", F.size("tokens").alias("len"), among.alias("hits"))
+    sized = Table(tokens.select("doc_id", F.size("tokens").alias("len"), among.alias("hits")), "tokens").df
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     tf = sized.where(F.size("hits") > 0).select("doc_id", "len", F.explode("hits").alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
