@@ -170,3 +170,31 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> tup
     kind = F.when(F.col("kind") == "function", "function").otherwise("class")
     symbol_nodes = symbols.select("id", kind.alias("type"), "file_path", "name", (F.col("end_line") - F.col("start_line")).alias("lines_of_code"))
     return file_nodes.unionByName(symbol_nodes), import_edges(imports, files)
+
+
+# --- persistence ---------------------------------------------------------------
+
+#: Relation names of stored edges (fixed values).
+RELATIONS = {"import": "IMPORTS", "call": "CALLS", "inheritance": "EXTENDS", "composition": "IMPLEMENTS", "uses": "USES", "data_flow": "DATA_FLOW"}
+
+
+def related(edges: DataFrame) -> DataFrame:
+    """Edges with the name of their relation; unknown types are RELATED."""
+    name = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.col("type")]
+    return edges.withColumn("relation", F.coalesce(name, F.lit("RELATED")))
+
+
+def sync_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Store the graph; edges are partitioned by relation, so queries on one read only its files."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    related(edges).write.mode("overwrite").partitionBy("relation").parquet(f"{folder}/edges")
+
+
+def load_graph(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+
+
+def replace_files(old: DataFrame, new: DataFrame, changed: DataFrame, column: str = "file_path") -> DataFrame:
+    """Rows of ``old`` but for changed files, and rows of ``new`` for those."""
+    paths = changed.select(F.col("file_path").alias(column)).distinct()
+    return old.join(paths, column, "left_anti").unionByName(new.join(paths, column, "left_semi"))

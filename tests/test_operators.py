@@ -273,3 +273,19 @@ def test_watched_files(spark):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     ev = spark.createDataFrame([(t, "src/a.ts", at(i)) for i, t in enumerate(["delete", "add", "add", "delete", "delete", "delete", "add"])], "type string, path string, ts timestamp")
     assert [r.watched for r in watch.watched_files(ev).orderBy("ts").collect()] == [0, 1, 2, 1, 0, 0, 1]
+
+
+def test_stored_graph_and_cli(spark, tmp_path, capsys):
+    from loomstack.__main__ import main
+
+    e = spark.createDataFrame([("a", "b", "import"), ("b", "c", "odd")], "src string, dst string, type string")
+    n = spark.createDataFrame([("a", "file", "a", "a")], "id string, type string, name string, file_path string")
+    graph.sync_graph(n, e, str(tmp_path / "g"))
+    nodes, edges = graph.load_graph(spark, str(tmp_path / "g"))
+    assert nodes.count() == 1 and {r.relation for r in edges.collect()} == {"IMPORTS", "RELATED"}
+    old, new = (spark.createDataFrame([("x", v), ("y", v)], "file_path string, v int") for v in (1, 2))
+    assert sorted(rows(graph.replace_files(old, new, spark.createDataFrame([("y",)], "file_path string")))) == [("x", 1), ("y", 2)]
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("export const alpha = 1;\n")
+    main([str(tmp_path / "src"), "search", "alpha"])
+    assert "a.ts" in capsys.readouterr().out
