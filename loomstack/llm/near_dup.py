@@ -5,7 +5,7 @@
    equal sets form a class; only classes go on, so copies never meet in pairs.
 2. A class is posted under each (coordinate, value).  Two classes over the
    threshold agree in ``T`` of ``K`` coordinates (at Jaccard 0.8 the chance to
-   miss is about 1e-5 a link, at 0.85 4e-7, at 0.9 1e-10).  Lists of one class
+   miss is about 3e-5 a link, at 0.85 6e-7, at 0.9 1e-9).  Lists of one class
    are dropped.  Prefix and skip: in the order of list lengths, two classes
    with T agreements share one of their K - T + 1 rarest coordinates, so only
    those are merged; the longest lists are skipped.
