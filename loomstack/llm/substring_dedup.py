@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = int(min(CHUNK_MOST, max(CHUNK, total // CHUNKS)))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = max(shuffled, -(-total // (16 << 20))), max(2 * shuffled, -(-total // (8 << 20)))
+    buckets, parts = max(shuffled, -(-total // (16 << 20))), max(8 * shuffled, -(-total // (2 << 20)))
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     write = _pack(rows, chunk_bytes).write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("path", path)
