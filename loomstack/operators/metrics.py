@@ -76,7 +76,8 @@ def with_halstead(df: DataFrame, content: str = "content") -> DataFrame:
     """vocabulary, length, volume, difficulty, effort, time, bugs of each row."""
     c = F.col(content)
     counts = F.array(*[((F.length(c) - F.length(F.replace(c, F.lit(op), F.lit("")))) / len(op)).cast("int") for op in HALSTEAD_OPERATORS])
-    words = F.filter(F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])[a-zA-Z_]\w*"), F.lit(0)), lambda w: ~w.isin(HALSTEAD_KEYWORDS))
+    # Runs of word characters that do not begin with a digit.
+    words = F.filter(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)), lambda w: ~w.isin(HALSTEAD_KEYWORDS) & (F.substring(w, 1, 1) >= "A"))
     out = df.withColumn("__o", counts).withColumn("__w", words)
     n1, total1 = F.size(F.filter("__o", lambda x: x > 0)), F.aggregate("__o", F.lit(0), lambda a, x: a + x)
     n2, total2 = F.size(F.array_distinct("__w")), F.size("__w")

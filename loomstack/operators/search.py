@@ -13,12 +13,17 @@ def tokenize(text: Column) -> Column:
     """Tokens of a text: parts of camelCase and snake_case words, then the word itself, lower-cased, without stop words."""
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), TOKEN_GAP, -1), lambda w: F.length(w) >= 2)
 
+    none = F.array().cast("array<string>")
+
     def of_word(w: Column) -> Column:
         spaced = F.regexp_replace(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
         parts = F.transform(F.split(spaced, r"[\s_]", -1), F.lower)
         good = F.filter(parts, lambda p: (F.length(p) >= 2) & ~p.isin(STOP_WORDS) & ~p.rlike(r"^\d+\z"))
         whole = F.lower(w)
-        return F.concat(good, F.when((F.length(whole) >= 2) & ~whole.isin(STOP_WORDS), F.array(whole)).otherwise(F.array().cast("array<string>")))
+        plain = F.when(whole.isin(STOP_WORDS), none).when(whole.rlike(r"^\d+\z"), F.array(whole)).otherwise(F.array(whole, whole))
+        split = F.concat(good, F.when((F.length(whole) >= 2) & ~whole.isin(STOP_WORDS), F.array(whole)).otherwise(none))
+        # Most words have no place to be cut at; they skip the replacements and the split.
+        return F.when(w.rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]|_"), split).otherwise(plain)
 
     return F.flatten(F.transform(raw, of_word))
 
