@@ -34,8 +34,8 @@ CYCLOMATIC = [bounded("if"), bounded(r"else\s+if"), bounded("for"), bounded("whi
 
 def cyclomatic(content: Column) -> Column:
     out = F.lit(1)
-    for p in CYCLOMATIC:
-        out = out + F.regexp_count(content, F.lit(p))
+    for p, needle in zip(CYCLOMATIC, ["if", "else", "for", "while", "case", "catch", "?", "&&", "||", "??"], strict=True):
+        out = out + F.when(F.contains(content, F.lit(needle)), F.regexp_count(content, F.lit(p))).otherwise(0)
     return out
 
 
@@ -75,16 +75,18 @@ def max_nesting(content: Column) -> Column:
 def with_halstead(df: DataFrame, content: str = "content") -> DataFrame:
     """vocabulary, length, volume, difficulty, effort, time, bugs of each row."""
     c = F.col(content)
-    counts = F.array(*[((F.length(c) - F.length(F.replace(c, F.lit(op), F.lit("")))) / len(op)).cast("int") for op in HALSTEAD_OPERATORS])
+    # Operators are counted in what is left of a text without all other signs.
+    o = F.col("__ops")
+    counts = F.array(*[((F.length(o) - F.length(F.replace(o, F.lit(op), F.lit("")))) / len(op)).cast("int") for op in HALSTEAD_OPERATORS])
     # Runs of word characters that do not begin with a digit.
     words = F.filter(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)), lambda w: ~w.isin(HALSTEAD_KEYWORDS) & (F.substring(w, 1, 1) >= "A"))
-    out = df.withColumn("__o", counts).withColumn("__w", words)
+    out = df.withColumn("__ops", F.regexp_replace(c, r"[^-+*/%=<>!&|^~?:.]+", " ")).withColumn("__o", counts).withColumn("__w", words)
     n1, total1 = F.size(F.filter("__o", lambda x: x > 0)), F.aggregate("__o", F.lit(0), lambda a, x: a + x)
     n2, total2 = F.size(F.array_distinct("__w")), F.size("__w")
     out = out.withColumn("vocabulary", n1 + n2).withColumn("length", total1 + total2).withColumn("__d", F.when(n2 > 0, (n1 / 2) * (total2 / n2)).otherwise(0.0))
     out = out.withColumn("__v", F.col("length") * F.log2(F.greatest("vocabulary", F.lit(1))))
     v, d = F.col("__v"), F.col("__d")
-    return out.withColumns({"volume": rounded(v, 2), "difficulty": rounded(d, 2), "effort": rounded(d * v, 2), "time": rounded(d * v / 18, 2), "bugs": rounded(v / 3000, 3)}).drop("__o", "__w", "__v", "__d")
+    return out.withColumns({"volume": rounded(v, 2), "difficulty": rounded(d, 2), "effort": rounded(d * v, 2), "time": rounded(d * v / 18, 2), "bugs": rounded(v / 3000, 3)}).drop("__ops", "__o", "__w", "__v", "__d")
 
 
 def maintainability(volume: Column, cc: Column, code: Column, ratio: Column) -> Column:
