@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstack.functions.fixed import COGNITIVE_MOST, COMPLEXITY_MOST, COUPLING_MOST, HALSTEAD_KEYWORDS, HALSTEAD_OPERATORS, LOC_MOST, NESTING_MOST
+from loomstack.functions.storage import Table
 from loomstack.functions.text import bounded, rounded, trim
 
 
@@ -150,6 +151,7 @@ def hotspots(metrics: DataFrame, limit: int = 20) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    out = metrics.withColumn("p", parts).where(F.size("p") > 0)
+    # A narrow table: a filter on metrics would otherwise be pushed down and compute them again.
+    out = Table(metrics.select("file_path", "cyclomatic", "code", "efferent", "maintainability"), "metrics").df.withColumn("p", parts).where(F.size("p") > 0)
     score = rounded(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["s"]))
     return out.select("file_path", score.alias("score"), F.array_join(F.transform("p", lambda x: x["r"]), ",").alias("reasons")).orderBy(F.desc("score"), "file_path").limit(limit)

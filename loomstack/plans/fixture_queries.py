@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstack.functions import fixed
+from loomstack.functions.storage import Table
 from loomstack.operators import chunks, dead_code, duplication, graph, impact, library, metrics, parse, relations, reports, rules, search, security, snapshot
 from loomstack.plans.registry import query
 from loomstack.sources import files as src
@@ -224,7 +225,7 @@ def metric_issues(spark, d):
 SELECT n AS total_files, CAST(loc AS BIGINT) AS total_loc, floor(c * 10 + 0.5) / 10 AS avg_complexity, floor(a + 0.5) AS avg_maintainability, floor((hi * 0.5::DOUBLE + me * 0.25::DOUBLE) * 10 + 0.5) / 10 AS debt_hours,
   CASE WHEN a >= 80 AND c <= 5 THEN 'A' WHEN a >= 60 AND c <= 10 THEN 'B' WHEN a >= 40 AND c <= 15 THEN 'C' WHEN a >= 20 THEN 'D' ELSE 'F' END AS grade FROM i""")
 def project_summary(spark, d):
-    m = metrics.file_metrics(fx.code_files(spark, d))
+    m = Table(metrics.file_metrics(fx.code_files(spark, d)), "metrics").df
     found = metrics.issues(m).where("type IN ('complexity', 'size', 'maintainability')")
     return metrics.project_summary(m, found).drop("avg_coupling")
 
