@@ -18,8 +18,9 @@ all rows.
 
 Edge cases: null and blank texts or items match nothing; equal items each
 match; a repeated document row matches each time; of windows that match an
-item the most similar, then the first, is reported; texts are read whole;
-empty tables give no match; other columns are ignored.
+item the most similar, then the first, is reported; a text with fewer words
+than an item is one window, compared exactly; texts are read whole; empty
+tables give no match; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,6 +108,11 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def _least_common(a: int, b: int, similarity: float) -> float:
+    """Common shingles that sequences of a and b shingles need for the similarity, less a margin for rounding."""
+    return similarity * (a + b) / (1 + similarity) - 1e-6
+
+
 class ItemIndex:
     """Items by size in words, each size with a Hamming index, and all their shingles."""
 
@@ -151,8 +157,19 @@ class ItemIndex:
             for d in np.unique(doc):
                 yield from ((int(d), *m) for m in self._in_text(grams, hits[doc == d], int(first[d]), int(first[d + 1]), n, similarity))
 
+    def _as_whole(self, grams, known, words, similarity):
+        """The whole text as the only window of items with more words, compared exactly where its known shingles suffice."""
+        for m, (ids, items, _) in self.sizes.items():
+            if m > words and known >= _least_common(len(grams), m - SHINGLE + 1, similarity):
+                for k, item in enumerate(items):
+                    score = weighted_jaccard(grams, item)
+                    if score >= similarity:
+                        yield ids[k], 0, words, score
+
     def _in_text(self, grams, hits, lo, hi, n, similarity):
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        if hi - lo >= SHINGLE == n:
+            yield from self._as_whole(grams[lo : hi - n + 1], len(hits), hi - lo, similarity)
         sizes = [m for m in self.sizes if min(m, SHINGLE) == n and m <= hi - lo]
         if not sizes:
             return

@@ -1,11 +1,13 @@
 """Queries against their SQL, and against brute force where SQL cannot express them."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomstack.llm import decontaminate
 from loomstack.llm import queries as llm
 from tests.conftest import FIXTURES
 
@@ -61,3 +63,24 @@ def test_op9_against_all_windows(spark, docs):
 
 def test_every_query_reads_remote_like_paths(spark):
     assert llm.QUERIES["op1_pareto_mix"](spark, f"file://{FIXTURES}").where(F.col("taken") > 3 * F.col("size")).count() == 0
+
+
+def test_op9_texts_shorter_than_an_item(spark):
+    """Cut items against brute force over all windows, of which the whole text is one if the item is longer."""
+    rng = random.Random(5)
+    items = {k: [f"w{rng.randint(0, 400)}" for _ in range(n)] for k, n in enumerate([3, 5, 6, 9, 14, 30, 50, 50, 120])}
+    texts = [w[:j] + w[j + d :] for w in items.values() for d in (1, 2, 5, 9) for j in sorted({0, 1, len(w) // 2, len(w) - d}) if 0 <= j < len(w)] + [[], ["w1"]]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = {}
+    for d, w in enumerate(texts):
+        for k, item in items.items():
+            for s in range(max(1, len(w) - len(item) + 1) if w else 0):
+                a, b = grams(item), grams(w[s : s + len(item)])
+                score = sum((a & b).values()) / sum((a | b).values())
+                if score >= 0.8 and score > want.get((d, k), (0, 0, 0))[2]:
+                    want[d, k] = (s, len(w[s : s + len(item)]), score)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.find_leaks(docs, table).collect()}
+    assert got == want and any(len(texts[d]) == 49 and len(items[k]) == 50 for d, k in want)
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, table).collect()} == set(range(len(texts))) - {d for d, _ in want}
