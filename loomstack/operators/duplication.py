@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstack.functions.storage import Table
 from loomstack.functions.text import rounded, trim
 
-WINDOWS, LEAST_CHARS, LINE_CHARS, LEAST_LINES = (6, 10, 15, 25), 20, 10, 6
+WINDOWS, LEAST_CHARS, LINE_CHARS, RUN_CHARS, LEAST_LINES = (6, 10, 15, 25), 20, 10, 3, 6
 
 
 def normalized(line: Column) -> Column:
@@ -49,7 +50,9 @@ def clone_runs(files: DataFrame) -> DataFrame:
     """(file1, line1, file2, line2, n) of maximal equal runs between a file and the first file with the run's first line.
 
     Each line is held against its first occurrence in another file, not
-    against all, so a frequent line gives one row for each place.
+    against all, so a frequent line gives one row for each place; runs that
+    other files share, and short lines in a run, are lost to this form, and
+    ``clone_pair_runs`` has them.
     """
     rows = files.select("file_path", F.posexplode(F.transform(F.split("content", "\n", -1), normalized)).alias("i", "s")).where(F.length("s") >= LINE_CHARS)
     rows = rows.select("file_path", (F.col("i") + 1).alias("line"), F.sha2("s", 256).alias("h"))
@@ -61,6 +64,35 @@ def clone_runs(files: DataFrame) -> DataFrame:
     return out.where(F.col("n") >= LEAST_LINES).select("file1", "line1", "file2", "line2", "n")
 
 
+def clone_pair_runs(files: DataFrame) -> DataFrame:
+    """(file1, line1, file2, line2, n) of maximal equal runs of every two files, file1 < file2.
+
+    A run starts at a line of ``LINE_CHARS`` and goes on through lines of
+    ``RUN_CHARS``.  Equal windows of ``LEAST_LINES`` lines are joined, and of
+    each run only its first and last window and those where longer lines begin
+    leave the join.  The result has a row for each pair of copies, so it grows
+    with the square of how often a passage is copied.
+    """
+    ls = F.transform(F.split("content", "\n", -1), normalized)
+    window = lambda i: F.slice("ls", i, LEAST_LINES)
+    key = lambda i: F.when(F.forall(window(i), lambda s: F.length(s) >= RUN_CHARS), F.unhex(F.sha2(F.array_join(window(i), "\n"), 256)))
+    starts = F.when(F.size("ls") >= LEAST_LINES, F.sequence(F.lit(1), F.size("ls") - (LEAST_LINES - 1))).otherwise(F.array().cast("array<int>"))
+    base = files.select("file_path", ls.alias("ls")).withColumn("keys", F.transform(starts, key))
+    near = lambda i: F.struct((i + 1).alias("line"), F.get("keys", i).alias("key"), F.when(i > 0, F.get("keys", i - 1)).alias("before"), F.get("keys", i + 1).alias("after"), (F.length(F.get("ls", i)) >= LINE_CHARS).alias("long"), F.when(i > 0, F.length(F.get("ls", i - 1)) >= LINE_CHARS).alias("was"))
+    rows = base.select("file_path", F.explode(F.transform(starts, lambda i: near(i - 1))).alias("w")).select("file_path", "w.*").where("key IS NOT NULL")
+    shared = rows.groupBy("key").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b")).where("a <> b").select("key")
+    table = Table(rows.join(shared, "key", "left_semi"), "windows").df
+    a, b = table.alias("a"), table.alias("b")
+    first, last = ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False)), ~F.coalesce(F.col("a.after") == F.col("b.after"), F.lit(False))
+    seed = F.col("b.long") & (first | ~F.col("b.was"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.file_path") < F.col("b.file_path")) & (first | last | seed))
+    line = F.col("b.line")
+    marks = pairs.groupBy(F.col("a.file_path").alias("file1"), F.col("b.file_path").alias("file2"), (line - F.col("a.line")).alias("d")).agg(*[F.sort_array(F.collect_list(F.when(c, line))).alias(n) for n, c in (("first", first), ("last", last), ("seed", seed))])
+    runs = marks.select("file1", "file2", "d", "seed", F.explode(F.arrays_zip("first", "last")).alias("r"))
+    runs = runs.withColumn("line2", F.array_min(F.filter("seed", lambda x: (x >= F.col("r.first")) & (x <= F.col("r.last"))))).where("line2 IS NOT NULL")
+    return runs.select("file1", (F.col("line2") - F.col("d")).alias("line1"), "file2", "line2", (F.col("r.last") - F.col("line2") + LEAST_LINES).cast("long").alias("n"))
+
+
 def top_clones(windows: DataFrame, limit: int = 50, shown: int = 5) -> DataFrame:
     """The largest clones of which no shown line is covered by a larger one.
 

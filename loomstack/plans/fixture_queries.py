@@ -356,6 +356,15 @@ def clone_runs(spark, d):
     return duplication.clone_runs(fx.files(spark, d))
 
 
+@query("clone_pair_runs", WITH_FILES + _NORM + """, l AS (SELECT file_path, no AS line, ls[no] AS s FROM nl, unnest(range(1, len(ls) + 1)) AS r(no) WHERE length(ls[no]) >= 3),
+p AS (SELECT a.file_path AS file1, b.file_path AS file2, b.line AS line2, b.line - a.line AS d, length(a.s) >= 10 AS seed FROM l a JOIN l b USING (s) WHERE a.file_path < b.file_path),
+g AS (SELECT *, line2 - row_number() OVER (PARTITION BY file1, file2, d ORDER BY line2) AS i FROM p),
+r AS (SELECT file1, file2, d, min(line2) FILTER (WHERE seed) AS line2, max(line2) AS e FROM g GROUP BY file1, file2, d, i)
+SELECT file1, CAST(line2 - d AS INT) AS line1, file2, CAST(line2 AS INT) AS line2, e - line2 + 1 AS n FROM r WHERE e - line2 >= 5""")
+def clone_pair_runs(spark, d):
+    return duplication.clone_pair_runs(fx.files(spark, d))
+
+
 _WINDOWS = "w AS (" + " UNION ALL ".join(f"SELECT file_path, {w} AS size, i AS start_line, array_to_string(list_filter(ls[i:i + {w - 1}], lambda s: s <> ''), chr(10)) AS t FROM nl, unnest(range(1, len(ls) - {w} + 2)) AS r(i)" for w in duplication.WINDOWS) + ")"
 
 

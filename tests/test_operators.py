@@ -129,6 +129,16 @@ def test_clones(spark):
     assert len(top) == 1 and len(top[0].instances) == 2
 
 
+def test_clone_runs_of_every_pair(spark):
+    block = [f"statement number {i};" for i in range(10)]
+    short = [*block[:3], "end", *block[6:9]]
+    late = ["end;"] * 7 + block[:6]
+    f = {"a.js": [block[4]], "b.js": block, "c.js": ["x", *block], "d.js": short, "e.js": ["q", *short], "f.js": late, "g.js": late}
+    f = spark.createDataFrame([(k, "\n".join(v)) for k, v in f.items()], "file_path string, content string")
+    got = set(rows(duplication.clone_pair_runs(f)))
+    assert got == {("b.js", 1, "c.js", 2, 10), ("d.js", 1, "e.js", 2, 7), ("f.js", 8, "g.js", 8, 6)} | {(x, i, y, j, 6) for x, i, y, j in [("b.js", 1, "f.js", 8), ("b.js", 1, "g.js", 8), ("c.js", 2, "f.js", 8), ("c.js", 2, "g.js", 8)]}
+
+
 def test_rules(spark):
     engine = rules.RulesEngine()
     assert len(engine.rules) == 8 and len(engine.enabled()) == 6
