@@ -7,11 +7,11 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstack.operators.graph import cycles
-
 
 @dataclass
 class Rule:
@@ -61,9 +61,43 @@ def _layer(path: str, layers: list) -> Column:
     return out
 
 
+def _back_edges(pdf):
+    """Edges to a node on the path of a depth-first search, nodes and neighbours in order of id, with the length of the cycle."""
+    codes, ids = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)
+    src, dst = np.split(codes, 2)
+    order = np.lexsort((dst, src))
+    dst, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist()
+    depth, seen, found = {}, [False] * len(ids), []
+    for root in range(len(ids)):
+        stack = [] if seen[root] else [[root, first[root]]]
+        while stack:
+            node, at = stack[-1]
+            if not seen[node]:
+                seen[node], depth[node] = True, len(stack)
+            if at == first[node + 1]:
+                del depth[node]
+                stack.pop()
+                continue
+            stack[-1][1] += 1
+            to = dst[at]
+            if not seen[to]:
+                stack.append([to, first[to]])
+            elif to in depth:
+                found.append((to, node, len(stack) - depth[to] + 1))
+    to, node, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    return pd.DataFrame({"start": ids[to], "end": ids[node], "value": n})
+
+
 def _no_circular(p: Project, c: dict) -> DataFrame:
-    found = cycles(p.edges, c.get("edge_type"), c.get("longest", 6), None)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("file"), F.col("length").cast("long").alias("value"), F.lit(None).cast("string").alias("target"))
+    """One row for each cycle of a depth-first search: its first and last node and its length, whatever that is.
+
+    Such a cycle is told by the edge that closes it, so parallel edges count
+    once.  The search is sequential and sees all distinct edges in one task.
+    """
+    kind = dict(p.edges.dtypes)["src"]
+    links = (p.edges.where(F.col("type") == c["edge_type"]) if c.get("edge_type") else p.edges).select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    found = links.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_back_edges, f"start {kind}, end {kind}, value long")
+    return found.select(F.col("start").cast("string").alias("file"), "value", F.col("end").cast("string").alias("target"))
 
 
 def _no_import(p: Project, c: dict) -> DataFrame:

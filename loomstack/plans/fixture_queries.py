@@ -439,9 +439,7 @@ def rule_naming(spark, d):
 @query("rules_summary")
 def rules_summary(spark, d):
     p = rules.Project(fx.files(spark, d), fx.symbols(spark, d), fx.nodes(spark, d), fx.edges(spark, d))
-    engine = rules.RulesEngine()
-    engine.rules["no-circular-deps"].config = {"edge_type": "import"}
-    return rules.summary(engine.check(p))
+    return rules.summary(rules.RulesEngine().check(p))
 
 
 @query("context_of", WITH_GRAPH + "x AS (SELECT 1) SELECT file_path, CASE WHEN file_path LIKE '%/domain/%' THEN 'domain' WHEN file_path LIKE '%/application/%' THEN 'application' WHEN file_path LIKE '%/infrastructure/%' THEN 'infrastructure' END AS context FROM nodes")

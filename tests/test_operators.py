@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -149,6 +150,38 @@ def test_rules(spark):
     assert rows(found) == [("mine", "error", "a", 1, "b")] and not rules.summary(found).first().passed
 
 
+def test_circular_of_any_length_and_type(spark):
+    def found(links, **config):
+        edges = spark.createDataFrame([(a, b, t) for a, b, t in links], "src string, dst string, type string")
+        rule = rules.Rule("c", "C", "no-circular", "error", True, config)
+        return sorted(rows(rules.RulesEngine([rule]).check(rules.Project(edges=edges)).select("file", "value", "target")))
+
+    ring = [(f"n{i}", f"n{(i + 1) % 7}", "import") for i in range(7)]
+    assert found(ring) == [("n0", 7, "n6")]
+    assert found([("a", "b", "import"), ("b", "a", "uses"), ("b", "a", "call"), ("c", "c", "uses"), ("a", "d", "uses")]) == [("a", 2, "b"), ("c", 1, "c")]
+    assert found([*ring, ("n3", "n3", "uses")], edge_type="uses") == [("n3", 1, "n3")] and found(ring[:6]) == []
+
+    def brute(links):
+        out, visited = set(), set()
+
+        def dfs(node, path):
+            visited.add(node)
+            for b in sorted({b for a, b, _ in links if a == node}):
+                if b not in visited:
+                    dfs(b, [*path, b])
+                elif b in path:
+                    out.add((b, len(path) - path.index(b), node))
+
+        for node in sorted({x for a, b, _ in links for x in (a, b)}):
+            if node not in visited:
+                dfs(node, [node])
+        return sorted(out)
+
+    rng = random.Random(4)
+    links = [(f"v{rng.randint(0, 29)}", f"v{rng.randint(0, 29)}", rng.choice(["import", "uses"])) for _ in range(70)]
+    assert found(links) == brute(links) != []
+
+
 def test_parse(spark):
     f = spark.createDataFrame([("a.py", "def foo(x):\n  pass\nclass Bar:\n  pass"), ("b.ts", "export function run() {\n  a();\n}\ninterface Opt {"), ("c.vue", "<script setup>const q1 = 1</script><script>\nexport const zed = 2\n</script>")], "file_path string, content string")
     got = {(r.file_path, r.name, r.type, r.start_line, r.end_line) for r in parse.parse_declarations(f).collect()}
