@@ -61,23 +61,26 @@ def transitive_dependencies(edges: DataFrame, node, max_depth: int = 10) -> Data
     return reach(edges, seed, max_depth - 1).where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 64) -> DataFrame:
-    """(path, length) over edges of either direction, the smallest path by order of ids; no row if there is none."""
+def shortest_path(edges: DataFrame, start, end) -> DataFrame:
+    """(path, length) over edges of either direction, the smallest path by order of ids; no row if there is none.
+
+    Edges go both ways, so a neighbour of a front is in it, in the one before or new.
+    """
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
-    both = edges.select("src", "dst").union(_reversed(edges)).distinct()
+    both = Table(edges.select("src", "dst").union(_reversed(edges)).distinct(), "both")
     front = Table(spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>"), "path")
-    seen = [front]
-    for _ in range(most):
+    before = None
+    while front.df.limit(1).count():
         hit = front.df.where(F.col("id") == end)
         if hit.limit(1).count():
             return hit.select("path", (F.size("path") - 1).alias("length"))
-        so_far = reduce(DataFrame.unionAll, [t.df.select("id") for t in seen])
-        step = front.df.join(both, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("path").alias("p"))
-        front = Table(step.select(F.col("dst").alias("id"), F.concat("p", F.array("dst")).alias("path")).join(so_far, "id", "left_anti"), "path")
-        seen.append(front)
-        if not front.df.limit(1).count():
-            break
-    return front.df.limit(0).select("path", F.lit(0).alias("length"))
+        known = front.df.select("id") if before is None else front.df.select("id").union(before.df.select("id"))
+        step = front.df.join(both.df, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("path").alias("p"))
+        new = Table(step.select(F.col("dst").alias("id"), F.concat("p", F.array("dst")).alias("path")).join(known, "id", "left_anti"), "path")
+        if before is not None:
+            before.drop()
+        before, front = front, new
+    return front.df.select("path", F.lit(0).alias("length"))
 
 
 def cycles(edges: DataFrame, kind: str | None = "import", longest: int = 6, limit: int | None = 50, self_loops: bool = False) -> DataFrame:
