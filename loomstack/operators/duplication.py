@@ -96,23 +96,29 @@ def clone_pair_runs(files: DataFrame) -> DataFrame:
 def top_clones(windows: DataFrame, limit: int = 50, shown: int = 5) -> DataFrame:
     """The largest clones of which no shown line is covered by a larger one.
 
-    The greedy choice is sequential; its input is cut to the ``limit`` x 40
-    largest blocks, in order of size and block, before it meets one task.
+    The greedy choice is sequential and meets the blocks in order of size and
+    block, ``limit`` x 40 at a time; blocks that the chosen lines cover do not
+    come again, so it ends with ``limit`` clones or the last block.
     """
+    spark = windows.sparkSession
     groups = windows.groupBy("block", "size").agg(F.slice(F.sort_array(F.collect_list(F.struct("file_path", "start_line"))), 1, shown).alias("instances"))
-    head = groups.orderBy(F.desc("size"), "block").limit(40 * limit)
-
-    def choose(pdf):
-        covered, keep = set(), []
-        for r in pdf.sort_values(["size", "block"], ascending=[False, True]).itertuples():
-            lines = {(i["file_path"], i["start_line"] + k) for i in r.instances for k in range(r.size_)}
+    groups = Table(groups, "clones")
+    covered, keep, left = set(), [], groups.df
+    while head := left.orderBy(F.desc("size"), "block").limit(40 * limit).collect():
+        for r in head:
+            lines = {(i.file_path, i.start_line + k) for i in r.instances for k in range(r["size"])}
             if len(keep) < limit and not lines & covered:
                 covered |= lines
-                keep.append(r.block)
-        return pdf[pdf.block.isin(keep)][["block", "size", "instances"]]
-
-    named = head.withColumn("size_", F.col("size"))
-    return named.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "block string, size int, instances array<struct<file_path:string,start_line:int>>")
+                keep.append(r)
+        if len(keep) == limit or len(head) < 40 * limit:
+            break
+        taken = spark.createDataFrame([([(i.file_path, i.start_line, i.start_line + r["size"]) for r in keep for i in r.instances],)], "taken array<struct<file:string,first:int,stop:int>>")
+        meets = lambda i: F.exists("taken", lambda t: (t["file"] == i["file_path"]) & (t["first"] < i["start_line"] + F.col("size")) & (i["start_line"] < t["stop"]))
+        last = head[-1]
+        after = (F.col("size") < last["size"]) | ((F.col("size") == last["size"]) & (F.col("block") > last["block"]))
+        left = groups.df.where(after).crossJoin(F.broadcast(taken)).where(~F.exists("instances", meets)).drop("taken")
+    groups.drop()
+    return spark.createDataFrame([(r["block"], r["size"], r["instances"]) for r in keep], "block string, size int, instances array<struct<file_path:string,start_line:int>>")
 
 
 def duplication_summary(windows: DataFrame) -> DataFrame:

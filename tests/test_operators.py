@@ -146,6 +146,12 @@ def test_clone_runs_of_every_pair(spark):
     assert got == {("b.js", 1, "c.js", 2, 10), ("d.js", 1, "e.js", 2, 7), ("f.js", 8, "g.js", 8, 6)} | {(x, i, y, j, 6) for x, i, y, j in [("b.js", 1, "f.js", 8), ("b.js", 1, "g.js", 8), ("c.js", 2, "f.js", 8), ("c.js", 2, "g.js", 8)]}
 
 
+def test_top_clones_go_on_after_a_long_passage(spark):
+    rows_ = [(f"b{i:03}", 25, f, i % 20 + 1) for i in range(90) for f in ("a.js", "b.js")] + [("c", 6, "a.js", 20), ("c", 6, "z.js", 1), ("d", 6, "a.js", 90), ("d", 6, "c.js", 1), ("e", 6, "c.js", 6), ("e", 6, "d.js", 1)]
+    w = spark.createDataFrame(rows_, "block string, size int, file_path string, start_line int")
+    assert sorted((r.block, r.size, len(r.instances)) for r in duplication.top_clones(w, 2).collect()) == [("b000", 25, 2), ("d", 6, 2)]
+
+
 def test_rules(spark):
     engine = rules.RulesEngine()
     assert len(engine.rules) == 8 and len(engine.enabled()) == 6
