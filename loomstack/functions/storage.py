@@ -13,11 +13,14 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this process only where it names none."""
+    """``spark.checkpoint.dir`` of the session; a folder of this process where it names none and Spark is local."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="loomstack-")
     return _own_dir
@@ -29,11 +32,18 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """A DataFrame written to the shared folder; lineage ends here."""
+    """A DataFrame written to the shared folder; lineage ends here.
 
-    def __init__(self, df: DataFrame, tag: str):
+    With ``few`` the table is known to be a small part of the corpus (keys,
+    links, counts): it is written by some tasks a core, not by one for each
+    shuffle partition, so that it is no heap of tiny files.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, few: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        if few:
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _tables.append((self.spark, self.path))
