@@ -3,25 +3,30 @@
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts
 earlier: in a document of smaller id, or earlier in the same one.
 
-Parsing.  A rolling hash of 50 bytes is taken at every position.  The trigger
-of a 100-byte window is the least hash inside it (the leftmost of equals), so
-equal windows have equal triggers at equal places.  Neighbouring windows with
-one trigger form a phrase; phrases overlap by 99 bytes, so that each window
-lies in exactly one, and the sequence of phrases (the parse) with the distinct
-phrases (the dictionary) holds all windows of a text.
-
-Corpus order.  A window never looks beyond its phrase, so of the parse's
-suffix order only the order of documents and starts is needed.  Per dictionary
-entry it gives the first occurrence; at every other one all windows are
-repeated.  Of the dictionary's suffixes only those of phrases that share
-their trigger with a different phrase can be equal: these are sorted by their
-100-byte hash and again ordered by first occurrence.
+Parsing.  A rolling hash of ``TRIGGER`` bytes is taken at every position; the
+least one inside a 100-byte window is the window's trigger (the leftmost of
+equals), so equal windows have equal triggers at equal places.  Neighbouring
+windows with one trigger form a phrase.  Phrases overlap by 99 bytes, so each
+window is a suffix of exactly one phrase, cut at 100 bytes: the parse (phrases
+in the order of the corpus) and the dictionary (distinct phrases) hold all
+windows.
+
+Parse order.  Of equal phrases all but the first in the order of documents and
+places are repeated whole.
+
+Dictionary order.  Only windows of phrases that share a trigger can be equal.
+The distinct phrases of such triggers are sent to tasks as bytes, and each task
+builds the suffix array of its part of the dictionary by prefix doubling over
+the bytes themselves (8, 16, 32, 64, then 100).  Suffixes of one interval of a
+common prefix of 100 bytes are put in corpus order by the parse positions of
+their phrases; all but the first are repeated.  Matches end at 100 bytes, so
+neither array is needed beyond that depth.
 
 Distribution.  Documents are packed in chunks of about ``CHUNK`` bytes, stored
-as a table bucketed by chunk, so no later step moves texts.  In each of two
-rounds (phrases, contested windows) a chunk keeps the first of its equal
-entries, deals them by hash, and gets back a byte for each.  A frequent string
-is one entry a chunk, and chunks grow with the corpus, so it stays small.
+as a table bucketed by chunk, so no later step moves texts.  A chunk sends one
+row for each of its distinct phrases; a frequent phrase is one row a chunk.
+The phrases of a trigger that has over ``WIDE`` of them are not sorted in one
+task: Spark aggregates their windows, with partial sums, and splits the join.
 
 Edge cases: null and empty texts have no bytes; texts under ``LENGTH`` bytes
 keep all; repeated rows of an id count as later copies in the order of chunks;
@@ -38,15 +43,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import Table, delete, mix, prefix_hash, shared_dir, span_hash, text_buffer
+from loomstack.llm.common import Table, delete, prefix_hash, shared_dir, span_hash, text_buffer
 
 LENGTH, TRIGGER = 100, 50
 #: Bytes of a chunk: at least, and at most; about 1 / CHUNKS of the corpus between.
 CHUNK, CHUNK_MOST, CHUNKS = 1 << 20, 32 << 20, 50_000
+#: Phrases of one part of the dictionary, and of one trigger that a task may sort.
+PART, WIDE = 1 << 14, 1 << 15
 _BLOCK, _LOW = (1 << 20) - 256, np.uint64((1 << 20) - 1)
-_NULL = -(1 << 63)
 
 
 def _blocks(off: np.ndarray):
@@ -92,153 +99,118 @@ def parse(buf: np.ndarray, off: np.ndarray):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
 
 
-def _windows(buf: np.ndarray, first: np.ndarray, stop: np.ndarray):
-    """Positions and 96-bit hashes of all windows of some phrases."""
-    n = stop - first
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
-    for lo in range(0, len(buf), _BLOCK):
-        here = np.flatnonzero((at >= lo) & (at < lo + _BLOCK))
-        if len(here):
-            part = buf[lo : lo + _BLOCK + LENGTH]
-            a = at[here] - lo
-            h[here] = span_hash(prefix_hash(part), a, a + LENGTH)
-            g[here] = span_hash(prefix_hash(part ^ np.uint8(0x5A)), a, a + LENGTH) >> np.uint64(32)
-    return at, h, g
-
-
-def _first(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries in order: indices of the first of each key, and for every entry the number of its key among those."""
-    order = np.lexsort((np.arange(len(keys[0])), *keys))
+def suffix_ranks(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Rank of the suffix at each byte among all suffixes cut at ``depth`` bytes (8 at least); equal prefixes have equal ranks."""
+    n = len(buf)
+    word, padded = np.zeros(n, np.uint64), np.concatenate([buf, np.zeros(8, np.uint8)])
+    for k in range(8):
+        word = word << np.uint64(8) | padded[k : k + n]
+    rank, size = np.unique(word, return_inverse=True)[1], 8
+    while size < depth:
+        step = min(size, depth - size)
+        after = np.zeros(n, np.int64)
+        after[: n - step] = rank[step:] + 1
+        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
+        size += step
+    return rank
+
+
+def first_of_each(phrase: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """A boolean for each phrase of a chunk: none before it is equal."""
+    order = np.lexsort((np.arange(len(phrase)), phrase, trigger))
     new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    first = order[new]
-    rank = np.empty(len(first), np.int64)
-    by_place = np.argsort(first)
-    rank[by_place] = np.arange(len(first))
-    of = np.empty(len(order), np.int64)
-    of[order] = rank[np.cumsum(new) - 1]
-    return first[by_place], of
-
-
-# A deal is (keys, order of entries by part, bounds of parts): all three are functions of the chunk alone.
-
-
-def _deal(hashes: np.ndarray, parts: int):
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _flags(deal, answers, n: int) -> np.ndarray:
-    """The answers' bytes in the order of entries."""
-    order, bounds = deal
-    out = np.zeros(n, np.uint8)
-    for a in answers or ():
-        p = a["part"]
-        out[order[bounds[p] : bounds[p + 1]]] = np.frombuffer(a["flags"], np.uint8)
+    new[1:] = (phrase[order][1:] != phrase[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
+    out = np.empty(len(order), bool)
+    out[order] = new
     return out
 
 
-class _Chunk:
-    """A chunk's texts, and what each round derives from them."""
-
-    def __init__(self, ids: bytes, offsets: bytes, data: bytes, parts: int):
-        self.ids, self.off, self.buf, self.parts = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64), np.frombuffer(data, np.uint8), parts
-        self.trigger, self.phrase, self.first, self.stop = parse(self.buf, self.off)
-        self.heads, self.of = _first(self.phrase, self.trigger)
-        # Triggers are least hashes, most of them small: mixed again they spread evenly.
-        self.deal = _deal(mix(self.trigger[self.heads]), parts)
-
-    def places(self, at: np.ndarray):
-        """Document id, index in the chunk and start in the document of byte positions."""
-        doc = np.searchsorted(self.off, at, "right") - 1
-        return self.ids[doc], doc.astype(np.int32), (at - self.off[doc]).astype(np.int64)
-
-    def phrases(self):
-        h = self.heads
-        return self.deal, (self.trigger[h], self.phrase[h], *self.places(self.first[h]))
-
-    def contested(self, answers):
-        self.flags = _flags(self.deal, answers, len(self.heads))
-        mine = self.heads[self.flags == 2]
-        self.at, h, g = _windows(self.buf, self.first[mine], self.stop[mine])
-        self.wheads, self.wof = _first(h, g)
-        self.wdeal = _deal(h[self.wheads], self.parts)
-        w = self.wheads
-        return self.wdeal, (h[w], g[w], *self.places(self.at[w]))
-
-    def repeated(self, answers, answers2) -> np.ndarray:
-        """A boolean for each byte: it is to be removed."""
-        self.contested(answers)
-        later = np.ones(len(self.of), bool)
-        later[self.heads] = self.flags == 1
-        edge = np.zeros(len(self.buf) + 1, np.int32)
-        np.add.at(edge, self.first[later], 1)
-        np.add.at(edge, self.stop[later] + LENGTH - 1, -1)
-        wlater = np.ones(len(self.at), bool)
-        wlater[self.wheads] = _flags(self.wdeal, answers2, len(self.wheads)) == 1
-        np.add.at(edge, self.at[wlater], 1)
-        np.add.at(edge, self.at[wlater] + LENGTH, -1)
-        return np.cumsum(edge[:-1]) > 0
-
-
-_ENTRY = "part int, chunk long, key binary, key2 binary, id binary, doc binary, start binary"
-
-
-def _entries(chunk: int, deal, columns):
-    order, bounds = deal
-    full = np.flatnonzero(np.diff(bounds))
-    cut = [[c[order[bounds[p] : bounds[p + 1]]].tobytes() for p in full] for c in columns]
-    if len(full):
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), *(pa.array(c, pa.binary()) for c in cut)], ["part", "chunk", "key", "key2", "id", "doc", "start"])
-
-
-def _answer(key2: type, by_trigger: bool):
-    """For all entries of a part: 1 where the key occurs earlier, 2 for a first one whose trigger has other phrases."""
-
-    def answer(t: pa.Table) -> pa.Table:
-        col = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
-        keys = col("key", np.uint64)
-        n = np.array([len(k) for k in keys])
-        key, other, ids, doc, start = (np.concatenate(c) for c in (keys, col("key2", key2), col("id", np.int64), col("doc", np.int32), col("start", np.int64)))
-        chunk = np.repeat(t.column("chunk").to_numpy(), n)
-        order = np.lexsort((start, doc, chunk, ids, other, key))
-        key, other = key[order], other[order]
-        trigger = np.ones(len(key), bool)
-        trigger[1:] = key[1:] != key[:-1]
-        new = trigger.copy()
-        new[1:] |= other[1:] != other[:-1]
-        flag = (~new).astype(np.uint8)
-        if by_trigger:
-            group = np.cumsum(trigger) - 1
-            flag[new & (np.bincount(group, new) > 1)[group]] = 2
-        out = np.empty(len(flag), np.uint8)
-        out[order] = flag
-        cut = np.concatenate([[0], np.cumsum(n)])
-        flags = [out[cut[i] : cut[i + 1]].tobytes() for i in range(len(n))]
-        return pa.table([t.column("chunk"), t.column("part"), pa.array(flags, pa.binary())], ["chunk", "part", "flags"])
-
-    return answer
+# A phrase's place is (id, chunk, at): at = first window * 64 + number of windows (at most 51), and grows with the place in the chunk.
+
+
+def _places(ids: pa.Array, off: np.ndarray, first: np.ndarray, stop: np.ndarray):
+    doc = np.searchsorted(off, first, "right") - 1
+    return ids.take(pa.array(doc)), pa.array(first * 64 + (stop - first))
+
+
+def _entries(chunk: int, ids: pa.Array, off: np.ndarray, buf: np.ndarray):
+    """A row for each distinct phrase of a chunk, at its first place."""
+    trigger, phrase, first, stop = parse(buf, off)
+    head = np.flatnonzero(first_of_each(phrase, trigger))
+    if len(head):
+        i, at = _places(ids, off, first[head], stop[head])
+        yield pa.RecordBatch.from_arrays([pa.array(trigger[head].view(np.int64)), pa.array(phrase[head].view(np.int64)), i, pa.array(np.full(len(head), chunk)), at], ["trigger", "phrase", "id", "chunk", "at"])
+
+
+def _pieces(chunk: int, ids: pa.Array, off: np.ndarray, buf: np.ndarray, asked: pa.Array):
+    """The bytes of the phrases asked for."""
+    if asked is None or not len(asked):
+        return
+    at = asked.field("at").to_numpy()
+    first, n = at >> 6, at & 63
+    size = n + LENGTH - 1
+    cut = np.concatenate([[0], np.cumsum(size)])
+    data = buf[np.arange(cut[-1]) - np.repeat(cut[:-1] - first, size)]
+    i, _ = _places(ids, off, first, first + n)
+    body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    yield pa.RecordBatch.from_arrays([asked.field("trigger"), i, pa.array(np.full(len(at), chunk)), asked.field("at"), asked.field("wide"), body], ["trigger", "id", "chunk", "at", "wide", "bytes"])
+
+
+def _later_suffixes(t: pa.Table) -> pa.Table:
+    """(chunk, at, mask): windows of a part of the dictionary that start earlier, as bits."""
+    buf, off = text_buffer(t.column("bytes").combine_chunks())
+    ids, chunk, at = t.column("id"), t.column("chunk").to_numpy(), t.column("at").to_numpy()
+    n = at & 63
+    begin = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(owner)) - begin[owner]
+    rank = suffix_ranks(buf)[off[owner] + j]
+    known, number = ids.is_valid().to_numpy(), ids.fill_null(0).to_numpy()
+    order = np.lexsort(((at >> 6)[owner] + j, chunk[owner], number[owner], known[owner], rank))
+    later = np.zeros(len(owner), bool)
+    later[order[1:]] = rank[order][1:] == rank[order][:-1]
+    mask = np.add.reduceat(later.astype(np.int64) << j, begin) if len(n) else np.zeros(0, np.int64)
+    some = np.flatnonzero(mask)
+    return pa.table([pa.array(chunk[some]), pa.array(at[some]), pa.array(mask[some])], ["chunk", "at", "mask"])
+
+
+def _repeated(off: np.ndarray, buf: np.ndarray, answers: pa.Array | None) -> np.ndarray:
+    """A boolean for each byte of a chunk: it is to be removed."""
+    trigger, phrase, first, stop = parse(buf, off)
+    edge = np.zeros(len(buf) + 1, np.int32)
+
+    def cover(a: np.ndarray, b: np.ndarray):
+        np.add.at(edge, a, 1)
+        np.add.at(edge, b, -1)
+
+    later = ~first_of_each(phrase, trigger)
+    cover(first[later], stop[later] + LENGTH - 1)
+    if answers is not None and len(answers):
+        at, mask = answers.field("at").to_numpy(), answers.field("mask").to_numpy()
+        k, j = np.nonzero(np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        inside = j < (at & 63)[k]
+        start = (at >> 6)[k[inside]] + j[inside]
+        cover(start, start + LENGTH)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, ids, offsets, data): documents of a chunk in the order of their ids."""
+    """(chunk, ids, offsets, data): documents of a chunk in the order of their ids, nulls first."""
 
     def pack(batches):
         part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            order = sorted(range(len(ids)), key=ids.__getitem__)
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
             data = [texts[i] for i in order]
             off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq]), pa.array([np.array([ids[i] for i in order], np.int64).tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], ["chunk", "ids", "offsets", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], ["chunk", "ids", "offsets", "data"])
 
         for b in batches:
             buf, off = text_buffer(b.column(1))
             raw = buf.tobytes()
             for k, i in enumerate(b.column(0).to_pylist()):
-                ids.append(_NULL if i is None else i)
+                ids.append(i)
                 texts.append(raw[off[k] : off[k + 1]])
                 size += len(texts[-1])
                 if size >= chunk_bytes:
@@ -247,7 +219,33 @@ def _pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInArrow(pack, "chunk long, ids binary, offsets binary, data binary")
+    return docs.mapInArrow(pack, "chunk long, ids array<long>, offsets binary, data binary")
+
+
+def _each(chunks: DataFrame, f, schema: str, answers: DataFrame | None = None) -> DataFrame:
+    """``f`` of every chunk and the list of its answers; texts stay where they are."""
+    columns = ["chunk", "ids", "offsets", "data"]
+    if answers is not None:
+        lists = answers.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "chunk"])).alias("answers"))
+        chunks, columns = chunks.join(lists, "chunk", "left"), [*columns, "answers"]
+
+    def over(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                c, ids, off, data, *got = (x[r] for x in b.columns)
+                yield from f(c.as_py(), ids.values, np.frombuffer(off.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.uint8), *(a.values for a in got))
+
+    return chunks.select(*columns).mapInArrow(over, schema)
+
+
+def _wide_windows(pieces: DataFrame) -> tuple[DataFrame, Table]:
+    """(chunk, at, mask) for phrases of triggers that have too many for a task, by aggregates that Spark can split."""
+    windows = pieces.select("id", "chunk", "at", "bytes", F.explode(F.expr("sequence(0, cast(at & 63 as int) - 1)")).alias("j"))
+    windows = windows.select("id", "chunk", "at", "j", (F.shiftright("at", 6) + F.col("j")).alias("start"), F.expr(f"substring(bytes, j + 1, {LENGTH})").alias("window"))
+    place = F.min(F.struct("id", "chunk", "start")).alias("f")
+    firsts = Table(windows.groupBy("window").agg(place, F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "f.chunk", "f.start").toDF("window", "fc", "fs"), "wide", few=True)
+    later = windows.join(firsts.df.hint("merge"), "window").where("chunk <> fc OR start <> fs")
+    return later.groupBy("chunk", "at").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")), firsts
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -257,54 +255,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = int(min(CHUNK_MOST, max(CHUNK, total // CHUNKS)))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = max(shuffled, -(-total // (16 << 20))), max(8 * shuffled, -(-total // (2 << 20)))
-    name = f"chunks_{uuid.uuid4().hex}"
+    name, used = f"chunks_{uuid.uuid4().hex}", []
     path = f"{shared_dir(spark)}/{name}"
-    write = _pack(rows, chunk_bytes).write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("path", path)
-    write.bucketBy(buckets, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
-
-    def each(f, schema: str, *answers: Table) -> DataFrame:
-        """``f`` of every chunk and its answers; texts stay where they are."""
-        df = chunks
-        for i, a in enumerate(answers):
-            df = df.join(a.df.groupBy("chunk").agg(F.collect_list(F.struct("part", "flags")).alias(f"answers{i}")), "chunk", "left")
-
-        def over(batches):
-            for b in batches:
-                for r in range(b.num_rows):
-                    c, ids, off, data, *got = (x[r] for x in b.columns)
-                    chunk = _Chunk(ids.as_py(), off.as_py(), data.as_py(), parts)
-                    yield from f(c.as_py(), chunk, *(a.as_py() for a in got))
-
-        return df.select("chunk", "ids", "offsets", "data", *(f"answers{i}" for i in range(len(answers)))).mapInArrow(over, schema)
-
-    def ask(entries: DataFrame, key2: type, by_trigger: bool, tag: str) -> Table:
-        return Table(entries.groupBy("part").applyInArrow(_answer(key2, by_trigger), "chunk long, part int, flags binary"), tag)
-
-    def removed(c, chunk: _Chunk, a, a2):
-        gone = chunk.repeated(a, a2)
-        off, n = chunk.off, len(chunk.ids)
+
+    def table(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+        used.append(Table(df, tag, few))
+        return used[-1].df
+
+    def removed(chunk, ids, off, buf, answers):
+        gone, n = _repeated(off, buf, answers), len(ids)
         sums = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = off[:-1][(off[:-1] < len(gone))]
         begins[inner] = gone[inner]
         spans = np.concatenate([[0], np.cumsum(begins)])
-        kept = [chunk.buf[off[i] : off[i + 1]][~gone[off[i] : off[i + 1]]].tobytes() for i in range(n)]
-        ids = pa.array(chunk.ids, mask=chunk.ids == _NULL)
+        kept = [buf[off[i] : off[i + 1]][~gone[off[i] : off[i + 1]]].tobytes() for i in range(n)]
         cols = [ids, pa.array(np.diff(off)), pa.array(np.diff(sums[off])), pa.array(np.diff(spans[off])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         yield pa.RecordBatch.from_arrays([*cols, *[pa.array(kept, pa.binary())] * with_text], [*names, *["kept"] * with_text])
 
-    one = ask(each(lambda c, chunk: _entries(c, *chunk.phrases()), _ENTRY), np.uint64, True, "phrases")
-    two = ask(each(lambda c, chunk, a: _entries(c, *chunk.contested(a)), _ENTRY, one), np.uint32, False, "windows")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = Table(each(removed, schema, one, two), "substrings")
-    one.drop(), two.drop()
-    spark.sql(f"DROP TABLE {name}")
-    delete(spark, path)
-    return out.df
+    try:
+        write = _pack(rows, chunk_bytes).write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("path", path)
+        write.bucketBy(max(shuffled, -(-total // (16 << 20))), "chunk").saveAsTable(name)
+        chunks = spark.table(name)
+        parsed = _each(chunks, _entries, "trigger long, phrase long, id long, chunk long, at long")
+        again = F.row_number().over(W.partitionBy("trigger", "phrase").orderBy("id", "chunk", "at")) > 1
+        phrases = table(parsed.select("trigger", "chunk", "at", again.alias("again")), "phrases")
+        heads = phrases.where("not again").select("trigger", "chunk", "at")
+        shared = table(heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", (F.col("n") > WIDE).alias("wide")), "triggers", few=True)
+        asked = heads.join(shared.hint("merge"), "trigger")
+        pieces = table(_each(chunks, _pieces, "trigger long, id long, chunk long, at long, wide boolean, bytes binary", asked), "pieces")
+        parts = max(shuffled, -(-pieces.count() // PART))
+        part = F.pmod(F.xxhash64("trigger"), F.lit(parts)).alias("part")
+        later = pieces.where("not wide").groupBy(part).applyInArrow(_later_suffixes, "chunk long, at long, mask long")
+        wide, firsts = _wide_windows(pieces.where("wide"))
+        used.append(firsts)
+        answers = phrases.where("again").select("chunk", "at", F.lit(-1).cast("long").alias("mask")).unionByName(later).unionByName(wide)
+        schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+        return Table(_each(chunks, removed, schema, answers), "substrings").df
+    finally:
+        for t in used:
+            t.drop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
