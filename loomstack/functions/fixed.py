@@ -155,3 +155,44 @@ INTENTS = [
     (r"(?i)how\s+to\s+(improve|refactor)", "refactor"),
 ]
 SEVERITY_RANK = {"none": 0, "info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
+
+#: Words of a question that name nothing (fixed values).
+ENTITY_STOP_WORDS = (
+    "the and for are but not you all can her was one our out this that with have from they what where when how why which "
+    "file files show find search get set"
+).split()
+
+#: Russian words of a question, and the names that stand for them (fixed values).
+SYNONYMS = [
+    ("авторизация авторизации", "auth login signin authentication authorize"),
+    ("аутентификация", "auth login signin authentication"),
+    ("вход", "login signin auth"),
+    ("выход", "logout signout exit"),
+    ("регистрация", "register signup registration"),
+    ("пароль", "password pwd pass"),
+    ("токен", "token jwt bearer"),
+    ("загрузка", "load loading fetch download import"),
+    ("модули", "module modules component components"),
+    ("модуль", "module component"),
+    ("компоненты", "component components widget widgets"),
+    ("компонент", "component widget"),
+    ("запрос", "request query fetch api"),
+    ("запросы", "request requests query queries api"),
+    ("ответ", "response result reply"),
+    ("данные", "data payload state"),
+    ("состояние", "state status store"),
+    ("маршрут", "route router path navigation"),
+    ("маршруты", "routes router routing navigation"),
+    ("навигация", "navigation nav router route"),
+    ("форма", "form input field"),
+    ("формы", "forms form inputs"),
+    ("валидация", "validation validate validator"),
+    ("хранилище", "store storage state vuex pinia redux"),
+    ("кэш", "cache caching memo"),
+    ("безопасность", "security secure protection guard"),
+    ("уязвимость", "vulnerability security xss injection"),
+    ("пользователь", "user account profile"),
+    ("настройки", "settings config configuration options"),
+    ("ошибка", "error exception bug issue"),
+    ("ошибки", "errors exceptions bugs issues"),
+]

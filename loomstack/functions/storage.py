@@ -43,8 +43,9 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         if few:
-            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-        df.write.option("compression", "zstd").parquet(self.path)
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        # No job looks for a mark of success: a failed write raises.
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _tables.append((self.spark, self.path))
 

@@ -163,16 +163,46 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     return exact.union(loose).select(F.col("file_path").alias("src"), "dst", "source")
 
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    return resolve_imports(imports, files).select("src", "dst", F.lit("import").alias("type"), F.lit(1.0).alias("weight"))
+def import_edges(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    return resolve_imports(imports, files, aliases).select("src", "dst", F.lit("import").alias("type"), F.lit(1.0).alias("weight"))
 
 
-def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of files and symbols, and import edges between files."""
+#: Node types of syntax trees that count twice (fixed values).
+BRANCH_TYPES = ["if_statement", "for_statement", "while_statement", "switch_statement", "catch_clause"]
+
+
+def tree_complexity(declarations: DataFrame) -> DataFrame:
+    """(file_path, complexity): one for the root and for each node below it, branches counted twice."""
+    return declarations.groupBy("file_path").agg((F.lit(1) + F.count(F.lit(1)) + F.count_if(F.col("type").isin(BRANCH_TYPES))).cast("int").alias("complexity"))
+
+
+def new_edges(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges of ``found`` of which ``known`` has none with the same ends, each once."""
+    return found.dropDuplicates(["src", "dst"]).join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("src", "dst", "type", "weight")
+
+
+def symbol_import_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges from every symbol of a file to the symbols of files whose path contains what it imports.
+
+    Sources are few and distinct ones are held against distinct paths first,
+    so the theta join never sees a symbol twice.
+    """
+    sources, paths = imports.select("source").where("source <> ''").distinct(), symbols.select(F.col("file_path").alias("path")).distinct()
+    hits = sources.join(paths, F.contains(F.col("path"), F.col("source")))
+    out = imports.select("file_path", "source").distinct().join(hits, "source").select("file_path", "path").distinct()
+    src, dst = symbols.select("file_path", F.col("id").alias("src")), symbols.select(F.col("file_path").alias("path"), F.col("id").alias("dst"))
+    return out.join(src, "file_path").join(dst, "path").select("src", "dst", F.lit("import").alias("type"), F.lit(1.0).alias("weight"))
+
+
+def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, declarations: DataFrame | None = None, more: tuple[DataFrame, ...] = (), aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of files and symbols; import edges between files, then ``more`` edges (template, reference, call)."""
     file_nodes = files.select(F.col("file_path").alias("id"), F.lit("file").alias("type"), "file_path", F.element_at(F.split("file_path", "/"), -1).alias("name"), (F.size(F.split("content", "\n", -1)) - 1).alias("lines_of_code"))
+    complexity = F.coalesce("complexity", F.lit(1))
+    file_nodes = file_nodes.withColumn("complexity", F.lit(1)) if declarations is None else file_nodes.join(tree_complexity(declarations), "file_path", "left").withColumn("complexity", complexity)
     kind = F.when(F.col("kind") == "function", "function").otherwise("class")
-    symbol_nodes = symbols.select("id", kind.alias("type"), "file_path", "name", (F.col("end_line") - F.col("start_line")).alias("lines_of_code"))
-    return file_nodes.unionByName(symbol_nodes), import_edges(imports, files)
+    symbol_nodes = symbols.select("id", kind.alias("type"), "file_path", "name", (F.col("end_line") - F.col("start_line")).alias("lines_of_code"), F.lit(None).cast("int").alias("complexity"))
+    edges = reduce(DataFrame.unionByName, [m.select("src", "dst", "type", "weight") for m in more], import_edges(imports, files, aliases))
+    return file_nodes.unionByName(symbol_nodes), edges
 
 
 # --- persistence ---------------------------------------------------------------

@@ -117,6 +117,12 @@ def file_metrics(files: DataFrame, couplings: DataFrame | None = None) -> DataFr
     return out.join(couplings, "file_path", "left").fillna(0, ["afferent", "efferent"]).fillna(0.5, ["instability", "distance"])
 
 
+def function_complexity(metrics: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``metrics`` with avg_function_complexity: the file's complexity over its functions, or whole if it has none."""
+    functions = symbols.where("kind = 'function'").groupBy("file_path").agg(F.count(F.lit(1)).alias("__n"))
+    return metrics.join(functions, "file_path", "left").withColumn("avg_function_complexity", F.col("cyclomatic") / F.coalesce("__n", F.lit(1))).drop("__n")
+
+
 def issues(metrics: DataFrame) -> DataFrame:
     """(file_path, type, severity, value) beyond the thresholds."""
     one = lambda kind, name, high, medium: F.when(high, F.struct(F.lit(kind).alias("type"), F.lit("high").alias("severity"), F.col(name).cast("long").alias("value"))).when(medium, F.struct(F.lit(kind).alias("type"), F.lit("medium").alias("severity"), F.col(name).cast("long").alias("value")))

@@ -72,13 +72,13 @@ def call_chain(edges: DataFrame, start, depth: int = 3) -> DataFrame:
     return reach(edges.where("type = 'call'"), seed, depth).where("depth > 0")
 
 
-def predicted_impact(files: DataFrame, edges: DataFrame, name: str, depth: int = 3, most: int = 30) -> DataFrame:
+def predicted_impact(files: DataFrame, edges: DataFrame, name: str, depth: int = 3, most: int | None = 30) -> DataFrame:
     """(file, level, reasons): files that contain or use a name (1), and those that depend on them (2 and on)."""
     p = rf"(?<![A-Za-z0-9_])\Q{name}\E(?![A-Za-z0-9_])"
     has = files.where(F.col("content").rlike(p)).select(F.col("file_path").alias("id")).distinct()
     up = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), has, depth)
     out = up.groupBy(F.col("id").alias("file")).agg((F.min("depth") + 1).alias("level"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("depth") == 0, "contains").otherwise("depends"))), ",").alias("reasons"))
-    return out.orderBy("level", "file").limit(most)
+    return out if most is None else out.orderBy("level", "file").limit(most)
 
 
 # --- stores and routes of front ends ------------------------------------------

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstack.functions.fixed import INTENTS
+from loomstack.functions.fixed import ENTITY_STOP_WORDS, INTENTS, SYNONYMS
 from loomstack.functions.storage import Table
+from loomstack.functions.text import literal_map
 from loomstack.operators.parse import language_of
+from loomstack.operators.rules import back_edges
 
 #: Technology by dependency names: group, name, dependencies (fixed values).
 STACK = [
@@ -22,9 +26,16 @@ STACK = [
     ("backend", "Flask", "flask"), ("backend", "FastAPI", "fastapi"), ("database", "PostgreSQL", "pg postgres"), ("database", "MySQL", "mysql mysql2"), ("database", "MongoDB", "mongodb mongoose"),
     ("database", "Redis", "redis ioredis"), ("database", "Prisma", "prisma @prisma/client"), ("database", "TypeORM", "typeorm"), ("database", "SQLite", "sqlite3 better-sqlite3"),
 ]
-#: Layer by path (fixed values).
-LAYERS = [("presentation", "/(components|views|pages|ui)/"), ("business", "/(services|usecases|domain|application)/"), ("data", "/(models|repositories|entities|infrastructure)/"), ("utility", "/(utils|helpers|lib)/")]
-ARCHITECTURE_FILES = r"(?i)(^|/)(index|main|app|server|router|routes?|store|config|schema)[^/]*\.\w+\z"
+#: Layers by parts of a path in lower case, and their roles (fixed values).
+LAYERS = [
+    ("Presentation", ["controller", "view", "component", "page"], "UI and API endpoints"),
+    ("Application", ["service", "usecase", "handler"], "Business logic orchestration"),
+    ("Domain", ["model", "entity", "domain", "core"], "Business rules and entities"),
+    ("Infrastructure", ["repository", "database", "api", "external"], "External integrations"),
+]
+#: Paths of files that show the architecture (fixed values).
+ARCHITECTURE_FILES = [r"index\.(ts|js|php)\z", r"main\.(ts|js|php)\z", r"app\.(ts|js|vue|php)\z", "(?i)router", "(?i)routes", "(?i)controller", "(?i)service", "(?i)model", "(?i)config"]
+ENTRY_POINTS = ["index", "main", "app", "server"]
 
 
 def language_mix(files: DataFrame) -> DataFrame:
@@ -53,39 +64,65 @@ def tech_stack(dependencies: DataFrame) -> DataFrame:
 
 
 def layer_coverage(files: DataFrame) -> DataFrame:
-    """(layer, files, percent) of known layers."""
-    layer = F.lit("other")
-    for name, p in reversed(LAYERS):
-        layer = F.when(F.concat(F.lit("/"), F.lower("file_path")).rlike(p), name).otherwise(layer)
-    by = files.select(layer.alias("layer")).groupBy("layer").agg(F.count(F.lit(1)).alias("files"))
-    return by.crossJoin(files.agg(F.count(F.lit(1)).alias("t"))).select("layer", "files", F.floor(F.col("files") * 100 / F.col("t") + 0.5).cast("long").alias("percent"))
+    """(layer, role, files, percent) of the layers that have files; a file counts in each layer of which its path has a part."""
+    low = F.lower("file_path")
+    has = lambda parts: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+    mine = F.filter(F.array(*[F.when(has(parts), F.struct(F.lit(name).alias("layer"), F.lit(role).alias("role"))) for name, parts, role in LAYERS]), lambda x: x.isNotNull())
+    by = files.select(F.explode(mine).alias("l")).groupBy("l.layer", "l.role").agg(F.count(F.lit(1)).alias("files"))
+    return by.crossJoin(files.agg(F.count(F.lit(1)).alias("t"))).select("layer", "role", "files", F.floor(F.col("files") * 100 / F.col("t") + 0.5).cast("long").alias("percent"))
 
 
-def problems(files: DataFrame, symbols: DataFrame, god: int = 1000, large: int = 500, crowd: int = 50, flat_most: int = 20) -> DataFrame:
-    """(kind, severity, subject, value): god objects, large files, crowded files and flat folders."""
+def folder_of(path: Column) -> Column:
+    """The path without its last part; "/" for files at the top."""
+    folder = F.regexp_replace(F.regexp_replace(path, r"\\\\", "/"), r"/?[^/]*\z", "")
+    return F.when(folder == "", "/").otherwise(folder)
+
+
+#: Titles and severities of problems (fixed values).
+SEVERITIES = {"critical": 0, "warning": 1, "info": 2}
+
+
+def problems(files: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, god: int = 1000, large: int = 500, crowd: int = 50, flat_most: int = 20, most: int | None = 10) -> DataFrame:
+    """(title, severity, subject, value) by severity: god objects and large files (the ``most`` largest), crowded files, cycles, flat folders at the top."""
     n = F.size(F.split("content", "\n", -1)).cast("long")
-    sized = files.select(F.col("file_path").alias("subject"), n.alias("value"))
-    row = lambda df, kind, severity: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "subject", "value")
+    sized = files.select(F.col("file_path").alias("subject"), n.alias("value")).where(F.col("value") > large)
+    if most is not None:
+        sized = sized.orderBy(F.desc("value"), "subject").limit(most)
+    row = lambda df, title, severity: df.select(F.lit(title).alias("title"), F.lit(severity).alias("severity"), "subject", "value")
     crowded = symbols.groupBy(F.col("file_path").alias("subject")).agg(F.count(F.lit(1)).alias("value")).where(F.col("value") > crowd)
-    flat = files.where(~F.col("file_path").rlike("/.*/")).groupBy(F.substring_index("file_path", "/", 1).alias("subject")).agg(F.count(F.lit(1)).alias("value")).where(F.col("value") > flat_most)
-    return row(sized.where(F.col("value") > god), "god-object", "high").union(row(sized.where((F.col("value") > large) & (F.col("value") <= god)), "large-file", "medium")).union(row(crowded, "many-symbols", "medium")).union(row(flat, "flat-folder", "low"))
+    folder = folder_of(F.col("file_path"))
+    flat = files.groupBy(folder.alias("subject")).agg(F.count(F.lit(1)).alias("value")).where((F.col("value") > flat_most) & ~F.contains("subject", F.lit("/")))
+    found = [row(sized.where(F.col("value") > god), "God Object", "critical"), row(sized.where(F.col("value") <= god), "Large File", "warning"), row(crowded, "High Complexity", "warning"), row(flat, "Flat Structure", "info")]
+    if edges is not None:
+        cycles = back_edges(edges).agg(F.count(F.lit(1)).alias("value")).where("value > 0").select(F.lit(None).cast("string").alias("subject"), "value")
+        found.append(row(cycles, "Circular Dependencies", "critical"))
+    return reduce(DataFrame.unionByName, found).orderBy(literal_map(SEVERITIES)[F.col("severity")], "title", "subject")
 
 
 def architecture_pattern(files: DataFrame) -> DataFrame:
-    """(pattern, confidence) of layouts that folder names point to, the most certain first."""
-    d = F.lower("file_path")
-    has = lambda p: F.bool_or(d.rlike(p))
+    """(pattern, confidence) of layouts that folder names point to, the most certain first, then in the order of the list."""
+    d = folder_of(F.col("file_path"))
+    has = lambda p: F.coalesce(F.bool_or(d.rlike(p)), F.lit(False))
+    named = lambda p: has(rf"(?i)/({p})(?![A-Za-z0-9_])")
     a = files.agg(
-        has("controller").alias("c"), has("model|entities").alias("m"), has("view|templates").alias("v"), has("domain|entities").alias("dom"),
-        has("usecase|use-case|application").alias("use"), has("infra").alias("inf"), has("repositor").alias("rep"), has("service").alias("svc"), has("/components/").alias("com"),
+        has("[cC]ontroller").alias("controllers"), has("[mM]odel|entities").alias("models"), has("[vV]iew|templates").alias("views"), has("domain|entities").alias("domain"),
+        has("usecase|use-case|application").alias("use"), has("infra").alias("infra"), has("repositor").alias("repositories"), has("[sS]ervice").alias("services"),
+        named("components").alias("components"), named("views").alias("vue_views"), named("store|stores").alias("store"), named("router").alias("router"),
+        named("composables").alias("composables"), named("pages").alias("pages"), named("layouts").alias("layouts"),
     )
-    row = lambda when, name, n: F.when(when, F.struct(F.lit(name).alias("pattern"), n.alias("confidence")))
-    found = F.array(
-        row(F.col("c") & F.col("m"), "MVC", F.when(F.col("v"), 90).otherwise(70)),
-        row(F.col("dom") & (F.col("use") | F.col("inf")), "Clean Architecture", F.when(F.col("use") & F.col("inf"), 85).otherwise(60)),
-        row(F.col("rep"), "Repository Pattern", F.lit(80)), row(F.col("svc"), "Service Layer", F.lit(85)), row(F.col("com"), "Component-Based", F.lit(75)),
-    )
-    return a.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select("r.*").orderBy(F.desc("confidence"), "pattern")
+    c = F.col
+    when = lambda x, high, low: F.when(x, high).otherwise(low)
+    rules = [
+        (c("controllers") & c("models"), "MVC", when(c("views"), 90, 70)),
+        (c("domain") & (c("use") | c("infra")), "Clean Architecture", when(c("use") & c("infra"), 85, 60)),
+        (c("repositories"), "Repository Pattern", F.lit(80)),
+        (c("services"), "Service Layer", F.lit(85)),
+        (c("components") & (c("vue_views") | c("pages")) & c("store"), "Vue SPA", when(c("router"), 85, 75)),
+        (c("composables"), "Composition API Pattern", F.lit(90)),
+        (c("pages") & c("layouts"), "File-based Routing", F.lit(80)),
+    ]
+    found = F.array(*[F.when(hit, F.struct(F.lit(k).alias("at"), F.lit(name).alias("pattern"), n.alias("confidence"))) for k, (hit, name, n) in enumerate(rules)])
+    return a.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select("r.*").orderBy(F.desc("confidence"), "at").drop("at")
 
 
 # --- questions ---------------------------------------------------------------
@@ -99,26 +136,36 @@ def intent(question: Column) -> Column:
 
 
 def entities(question: Column) -> Column:
-    """Distinct names in a question: quoted, camelCase and PascalCase words, file paths, then plain words of 4 letters or more."""
+    """Distinct names in a question, in this order: quoted, camelCase, PascalCase, after a keyword, file paths,
+    English words for Russian ones, then plain words of 3 letters or more in lower case."""
     all_ = lambda p, g=1: F.regexp_extract_all(question, F.lit(p), F.lit(g))
-    stop = "what where which when does with from this that have find show file function class method about work used uses there".split()
-    plain = F.filter(F.transform(all_(r"([A-Za-z]{4,})"), F.lower), lambda w: ~w.isin(stop))
-    return F.array_distinct(F.concat(all_("[\"'`]([^\"'`]+)[\"'`]"), all_(r"(?<![A-Za-z0-9_])([a-z]+[A-Z][A-Za-z0-9]*)"), all_(r"(?<![A-Za-z0-9_])([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)"), all_(r"([\w./-]+\.(?:ts|js|tsx|jsx|vue|py|go|java|php))"), plain))
+    plain = F.transform(F.filter(all_(r"(?<![A-Za-z0-9_])([a-zA-Z]{3,})(?![A-Za-z0-9_])"), lambda w: ~F.lower(w).isin(ENTITY_STOP_WORDS)), F.lower)
+    known = F.create_map(*[x for words, names in SYNONYMS for w in words.split() for x in (F.lit(w), F.array(*[F.lit(n) for n in names.split()]))])
+    russian = F.filter(F.transform(F.regexp_extract_all(F.lower(question), F.lit("([\u0430-\u044f\u0451]+)"), F.lit(1)), lambda w: known[w]), lambda x: x.isNotNull())
+    after = all_(r"(?iu)(?:\u0444\u0443\u043d\u043a\u0446\u0438[\u044f\u044e]|\u043c\u0435\u0442\u043e\u0434|\u043a\u043b\u0430\u0441\u0441|\u0444\u0430\u0439\u043b|function|method|class|file)\s+(\w+)")
+    found = F.concat(
+        all_("[\"'`]([^\"'`]+)[\"'`]"), all_(r"(?<![A-Za-z0-9_])([a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])"), all_(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])"),
+        after, all_(r"(?i)([\w\-./\\]+\.(?:tsx|jsx|ts|js|php|py|vue))"), F.flatten(russian), plain,
+    )
+    return F.array_distinct(found)
 
 
-def fuzzy_symbols(symbols: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
-    """(id, name, confidence): equal 1, containing 0.9, shared parts 0.5 + 0.3 x their ratio; over 0.3 only."""
-    parts = lambda s: F.filter(F.split(F.lower(F.regexp_replace(s, "([a-z])([A-Z])", "$1_$2")), r"[_\s.-]+", -1), lambda x: x != "")
+def fuzzy_symbols(symbols: DataFrame, terms: list[str], limit: int | None = 10) -> DataFrame:
+    """(id, name, confidence) by the first term with a confidence over 0.3: equal 1, containing the term 0.9, else
+    0.5 + 0.3 x the share of the term's parts that a part of the name contains."""
     name = F.lower("name")
+    parts = lambda s: F.split(s, "[_-]", -1)
 
     def score(term: str) -> Column:
         t = F.lit(term.lower())
-        mine, theirs = parts(F.col("name")), parts(F.lit(term))
-        shared = F.size(F.array_intersect(mine, theirs))
-        return F.when(name == t, 1.0).when(F.contains(name, t) | F.contains(t, name), 0.9).when(shared > 0, 0.5 + 0.3 * shared / F.greatest(F.size(mine), F.size(theirs))).otherwise(0.0)
+        theirs = parts(t)
+        shared = F.size(F.filter(theirs, lambda q: F.exists(parts(name), lambda x: F.contains(x, q))))
+        found = F.when(name == t, 1.0).when(F.contains(name, t), 0.9).when(shared > 0, 0.5 + shared / F.size(theirs) * 0.3)
+        return F.when(found > 0.3, found)
 
-    best = F.greatest(*[score(t) for t in terms], F.lit(0.0))
-    return symbols.select("id", "name", F.round(best, 6).alias("confidence")).where("confidence > 0.3").orderBy(F.desc("confidence"), "name", "id").limit(limit)
+    best = F.coalesce(*[score(t) for t in terms], F.lit(None).cast("double"))
+    out = symbols.select("id", "name", F.round(best, 6).alias("confidence")).where("confidence is not null")
+    return out if limit is None else out.orderBy(F.desc("confidence"), "name", "id").limit(limit)
 
 
 def relevant_files(files: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
@@ -137,27 +184,78 @@ def usages(files: DataFrame, name: str, limit: int | None = 10) -> DataFrame:
 
 
 def snippets(files: DataFrame, places: DataFrame, around: int = 3) -> DataFrame:
-    """(file_path, line, snippet): lines about each place, the place marked."""
+    """(file_path, line, snippet): numbered lines about each place, the place marked."""
     rows = F.split("content", "\n", -1)
     start = F.greatest(F.lit(1), F.col("line") - around)
-    marked = F.transform(F.slice(rows, start, F.col("line") + around - start + 1), lambda s, i: F.concat(F.when(i + start == F.col("line"), "> ").otherwise("  "), s))
+    mark = lambda k: F.when(k == F.col("line"), "\u2192").otherwise(" ")
+    number = lambda k: F.when(F.length(k.cast("string")) < 4, F.lpad(k.cast("string"), 4, " ")).otherwise(k.cast("string"))
+    marked = F.transform(F.slice(rows, start, F.col("line") + around - start + 1), lambda s, i: F.concat(mark(i + start), number(i + start), F.lit("\u2502 "), s))
     return places.join(files, "file_path").select("file_path", "line", F.array_join(marked, "\n").alias("snippet"))
 
 
-def architecture_files(files: DataFrame, limit: int = 15) -> DataFrame:
-    return files.where(F.col("file_path").rlike(ARCHITECTURE_FILES)).select("file_path").orderBy("file_path").limit(limit)
+def architecture_files(files: DataFrame, limit: int | None = 15) -> DataFrame:
+    hit = reduce(lambda a, b: a | b, [F.col("file_path").rlike(p) for p in ARCHITECTURE_FILES])
+    out = files.where(hit).select("file_path")
+    return out if limit is None else out.orderBy("file_path").limit(limit)
+
+
+def files_named(files: DataFrame, terms: list[str], limit: int | None = 10) -> DataFrame:
+    """(file_path, relevance): 1 for a path equal to the first term it contains, else 0.5."""
+    low = F.lower("file_path")
+    score = F.coalesce(*[F.when(F.contains(low, F.lit(t.lower())), F.when(low == t.lower(), 1.0).otherwise(0.5)) for t in terms], F.lit(None).cast("double"))
+    out = files.select("file_path", score.alias("relevance")).where("relevance is not null")
+    return out if limit is None else out.orderBy(F.desc("relevance"), "file_path").limit(limit)
+
+
+def files_with_issues(issues: DataFrame) -> DataFrame:
+    """(file_path, n) of files with findings, most first."""
+    return issues.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path")
+
+
+def main_dependencies(edges: DataFrame, each: int = 5, limit: int | None = 30) -> DataFrame:
+    """(src, dst): up to ``each`` edges of entry points and of nodes with more than five."""
+    low = F.lower(F.col("src").cast("string"))
+    entry = reduce(lambda a, b: a | b, [F.contains(low, F.lit(e)) for e in ENTRY_POINTS])
+    rank = F.row_number().over(W.partitionBy("src").orderBy("dst", "type"))
+    many = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    out = edges.join(many, "src").where(entry | (F.col("n") > 5)).withColumn("r", rank).where(F.col("r") <= each).select("src", "dst")
+    return out if limit is None else out.orderBy("src", "dst").limit(limit)
+
+
+def file_dependencies(edges: DataFrame, paths: DataFrame, limit: int | None = 20) -> DataFrame:
+    """(src, dst) of edges out of ``paths`` (file_path)."""
+    out = edges.join(paths.select(F.col("file_path").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+    return out if limit is None else out.orderBy("src", "dst").limit(limit)
+
+
+def callers(edges: DataFrame, file: str, name: str, limit: int | None = 10) -> DataFrame:
+    """(src) of nodes with an edge to the file of a symbol, or to a node whose id contains its name."""
+    out = edges.where((F.col("dst") == file) | F.contains("dst", F.lit(name))).select("src").distinct()
+    return out if limit is None else out.orderBy("src").limit(limit)
 
 
 # --- documentation -----------------------------------------------------------
 
 
+#: Route declarations: any receiver, a router, a decorator (fixed values).
+ENDPOINTS = [
+    r"""(?i)\.(get|post|put|patch|delete)\s*\(\s*['"`]([^'"`]+)['"`]""",
+    r"""(?i)router\.(get|post|put|patch|delete)\s*\(\s*['"`]([^'"`]+)['"`]""",
+    r"""(?i)@(Get|Post|Put|Patch|Delete)\s*\(\s*['"`]?([^'"`)]*?)['"`]?\s*\)""",
+]
+
+
 def api_endpoints(files: DataFrame, limit: int | None = 50) -> DataFrame:
-    """(file_path, method, route) of route declarations in route, controller and api files."""
-    p = r"""(?i)(?:router|app|Route::?)\s*(?:\.|::)?\s*(get|post|put|patch|delete)\s*\(\s*['"`]([^'"`]+)['"`]"""
-    rows = files.where(F.lower("file_path").rlike("route|controller|api"))
-    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("m"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("r"))
-    out = rows.select("file_path", F.explode(both).alias("e")).select("file_path", F.upper("e.m").alias("method"), F.col("e.r").alias("route")).distinct()
-    return out if limit is None else out.orderBy("file_path", "route", "method").limit(limit)
+    """(file_path, method, route) of route declarations in route, controller and api files; a router's match two patterns and are given twice."""
+    hit = reduce(lambda a, b: a | b, [F.contains("file_path", F.lit(x)) for x in ("route", "controller", "api")])
+
+    def of(k: int, p: str) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("m"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("r"))
+        return F.transform(both, lambda e, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.upper(e["m"]).alias("method"), F.when(e["r"] == "", "/").otherwise(e["r"]).alias("route")))
+
+    out = files.where(hit).select("file_path", F.explode(F.concat(*[of(k, p) for k, p in enumerate(ENDPOINTS)])).alias("e"))
+    out = out if limit is None else out.orderBy("file_path", "e.k", "e.i").limit(limit)
+    return out.select("file_path", "e.method", "e.route")
 
 
 def components(files: DataFrame, most: int = 50) -> DataFrame:
@@ -223,11 +321,30 @@ def relative_paths(df: DataFrame, root: str, *columns: str) -> DataFrame:
     return df.withColumns({c: cut(c) for c in columns})
 
 
-def report(sections: dict[str, DataFrame], form: str = "json", rows: int = 20) -> str:
-    """A report of at most ``rows`` rows a section, as json, markdown or html."""
-    data = {k: [r.asDict(recursive=True) for r in df.limit(rows).collect()] for k, df in sections.items()}
+def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(at, line) of a GraphML file; lines go by ``at``, then by text."""
+    keys = "".join(f'<key id="d{i}" for="{k}" attr.name="{n}" attr.type="string"/>' for i, (k, n) in enumerate((("node", "label"), ("node", "type"), ("edge", "type"))))
+    head, tail = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">', "</graph></graphml>"
+    lines = graphml_nodes(nodes).select(F.lit(1).alias("at"), F.col("xml").alias("line"))
+    edge = F.concat(F.lit('<edge id="'), "id", F.lit('" source="'), "source", F.lit('" target="'), "target", F.lit('"><data key="d2">'), "type", F.lit("</data></edge>"))
+    ends = nodes.sparkSession.createDataFrame([(0, head), (3, tail)], "at int, line string")
+    return ends.union(lines).union(graphml_edges(edges).select(F.lit(2).alias("at"), edge.alias("line")))
+
+
+def write_lines(lines: DataFrame, folder: str) -> None:
+    """Write (at, line) as text, in ranges: the parts in the order of their names are the file."""
+    lines.repartitionByRange("at", "line").sortWithinPartitions("at", "line").select(F.col("line").alias("value")).write.mode("overwrite").text(folder)
+
+
+def report(sections: dict[str, DataFrame], form: str = "json", rows: int | None = 20, project: str | None = None) -> str:
+    """A report for readers, of the first ``rows`` rows a section (all if None), as json, markdown or html.
+
+    The rows come to the driver: ``Engine.export_to`` writes sections of any size.
+    """
+    data = {k: [r.asDict(recursive=True) for r in (df if rows is None else df.limit(rows)).collect()] for k, df in sections.items()}
     if form == "json":
-        return json.dumps(data, indent=2, default=str)
+        head = {} if project is None else {"projectName": project, "exportDate": datetime.now(UTC).isoformat()}
+        return json.dumps(head | data, indent=2, default=str)
     table = lambda rs: (list(rs[0]) if rs else [], [[str(v) for v in r.values()] for r in rs])
     if form == "markdown":
         out = []

@@ -61,7 +61,7 @@ def _layer(path: str, layers: list) -> Column:
     return out
 
 
-def _back_edges(pdf):
+def _search(pdf):
     """Edges to a node on the path of a depth-first search, nodes and neighbours in order of id, with the length of the cycle."""
     codes, ids = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)
     src, dst = np.split(codes, 2)
@@ -88,15 +88,20 @@ def _back_edges(pdf):
     return pd.DataFrame({"start": ids[to], "end": ids[node], "value": n})
 
 
-def _no_circular(p: Project, c: dict) -> DataFrame:
-    """One row for each cycle of a depth-first search: its first and last node and its length, whatever that is.
+def back_edges(edges: DataFrame) -> DataFrame:
+    """(start, end, value) of each cycle of a depth-first search: its first and last node and its length, whatever that is.
 
     Such a cycle is told by the edge that closes it, so parallel edges count
     once.  The search is sequential and sees all distinct edges in one task.
     """
-    kind = dict(p.edges.dtypes)["src"]
-    links = (p.edges.where(F.col("type") == c["edge_type"]) if c.get("edge_type") else p.edges).select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    found = links.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_back_edges, f"start {kind}, end {kind}, value long")
+    kind = dict(edges.dtypes)["src"]
+    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    return links.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_search, f"start {kind}, end {kind}, value long")
+
+
+def _no_circular(p: Project, c: dict) -> DataFrame:
+    """One row for each cycle that the search closes."""
+    found = back_edges(p.edges.where(F.col("type") == c["edge_type"]) if c.get("edge_type") else p.edges)
     return found.select(F.col("start").cast("string").alias("file"), "value", F.col("end").cast("string").alias("target"))
 
 

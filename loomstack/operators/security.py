@@ -71,12 +71,17 @@ def scan(files: DataFrame, patterns: list[str], keep=None, needles: list[str] |
         hits = F.transform(found, lambda m: F.struct(F.lit(k).alias("k"), m["line"].alias("line"), m["offset"].alias("offset"), m["text"].alias("text")))
         return F.when(chance(k), hits).otherwise(F.array().cast("array<struct<k:int,line:int,offset:int,text:string>>"))
 
+    def placed(both: Column) -> Column:
+        """Matches with what stands before them in their line, and the line: cut here, so that no text goes along with a match."""
+        before = lambda m: F.substring_index(F.substring(both["content"], F.lit(1), m["offset"]), "\n", -1)
+        return F.transform(both["hits"], lambda m: F.struct(m["k"].alias("k"), m["line"].alias("line"), m["offset"].alias("offset"), m["text"].alias("text"), before(m).alias("before"), F.get(both["rows"], m["line"] - 1).alias("row")))
+
     every = F.concat(*[of(k, p) for k, p in enumerate(patterns)])
     low_files = files.withColumn("__low", F.lower("content"))
-    rows = low_files.select("file_path", "content", F.explode(every).alias("m"))
-    before = F.substring_index(F.substring(content, 1, F.col("m.offset")), "\n", -1)
-    row = F.element_at(F.split(content, "\n", -1), F.col("m.line"))
-    return rows.select("file_path", "m.k", "m.line", "m.offset", "m.text", before.alias("before"), row.alias("row"))
+    hit = low_files.select("file_path", "content", every.alias("hits")).where(F.size("hits") > 0)
+    whole = F.struct("content", "hits", F.split(content, "\n", -1).alias("rows"))
+    found = F.flatten(F.transform(F.array(whole), placed))
+    return hit.select("file_path", F.explode(found).alias("m")).select("file_path", "m.*")
 
 
 def _first(df: DataFrame, *order) -> DataFrame:
@@ -146,10 +151,20 @@ def bug_patterns(files: DataFrame, limit: int | None = None) -> DataFrame:
     rows = files.select("file_path", F.posexplode(F.split("content", "\n", -1)).alias("i", "row"))
     hits = F.filter(F.array(*[F.when(F.col("row").rlike(_flag(p, i)), F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"))) for n, s, p, i in table]), lambda x: x.isNotNull())
     out = rows.select("file_path", (F.col("i") + 1).alias("line"), F.explode(hits).alias("h")).select("file_path", "line", "h.*")
-    if limit is None:
-        return out
+    return out if limit is None else worst(out, limit)
+
+
+def worst(found: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most severe findings."""
     rank = F.create_map(*[F.lit(x) for kv in fixed.SEVERITY_RANK.items() for x in kv])[F.col("severity")]
-    return out.orderBy(F.desc(rank), "file_path", "line", "name").limit(limit)
+    return found.orderBy(F.desc(rank), "file_path", "line", "name").limit(limit)
+
+
+def bugs_near(files: DataFrame, symbols: DataFrame, ahead: int = 50) -> DataFrame:
+    """Findings of ``bug_patterns`` within ``ahead`` lines from where a symbol (file_path, start_line) begins."""
+    spots = symbols.select("file_path", F.col("start_line").alias("at")).distinct()
+    found = bug_patterns(files.join(spots.select("file_path").distinct(), "file_path", "left_semi"))
+    return found.join(spots, (found.file_path == spots.file_path) & found.line.between(spots["at"], spots["at"] + ahead), "left_semi")
 
 
 def performance_hints(files: DataFrame, limit: int | None = 10) -> DataFrame:

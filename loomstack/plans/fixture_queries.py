@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from loomstack.functions import fixed
 from loomstack.functions.storage import Table
-from loomstack.operators import chunks, dead_code, duplication, graph, impact, library, metrics, parse, relations, reports, rules, search, security, snapshot
+from loomstack.operators import chunks, dead_code, duplication, graph, impact, library, metrics, parse, reports, rules, search, security, snapshot
 from loomstack.plans.registry import query
 from loomstack.sources import files as src
 from loomstack.sources import fixtures as fx
 from loomstack.streaming import watch
 
+LAYERED = impact.Architecture([impact.Context("domain", ["/domain/"], ["/infrastructure/", "/utils/"]), impact.Context("application", ["/application/"], ["/infrastructure/"]), impact.Context("infrastructure", ["/infrastructure/"])])
 QUESTION = "the getThe interface of haStore for with"
 WITH_FILES = f"WITH files AS ({fx.FILES_SQL}), "
 WITH_CODE = f"WITH files AS ({fx.CODE_FILES_SQL}), "
@@ -103,19 +104,19 @@ def orphan_files(spark, d):
     return graph.orphan_files(edges, fx.nodes(spark, d))
 
 
-@query("impact_of", WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN edges e ON e.dst = r.id WHERE e.type = 'import' AND depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT id, file_path AS file, name, depth FROM m JOIN nodes USING (id) WHERE depth > 0")
+@query("impact_of", WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN edges e ON e.dst = r.id WHERE depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT id, file_path AS file, name, depth FROM m JOIN nodes USING (id) WHERE depth > 0")
 def impact_of(spark, d):
-    return graph.impact_of(fx.edges(spark, d).where("type = 'import'"), fx.nodes(spark, d), 7)
+    return graph.impact_of(fx.edges(spark, d), fx.nodes(spark, d), 7)
 
 
-@query("transitive_dependencies", WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.id WHERE e.type = 'import' AND depth < 9) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
+@query("transitive_dependencies", WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.id WHERE depth < 9) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
 def transitive_dependencies(spark, d):
-    return graph.transitive_dependencies(fx.edges(spark, d).where("type = 'import'"), 7)
+    return graph.transitive_dependencies(fx.edges(spark, d), 7)
 
 
 @query("shortest_path")
 def shortest_path(spark, d):
-    out = graph.shortest_path(fx.edges(spark, d).where("type = 'import'"), 1, 100)
+    out = graph.shortest_path(fx.edges(spark, d), 1, 100)
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "length")
 
 
@@ -220,6 +221,15 @@ def metric_issues(spark, d):
     return metrics.issues(metrics.file_metrics(fx.page_files(spark, d))).where("type IN ('complexity', 'nesting')")
 
 
+@query("metric_issues_all", _ALL + ", " + _COGNITIVE.replace(_LINES, "") + ", " + _NEST + """ SELECT file_path, 'complexity' AS type, CASE WHEN cc > 20 THEN 'high' ELSE 'medium' END AS severity, CAST(cc AS BIGINT) AS value FROM m WHERE cc > 10
+  UNION ALL SELECT file_path, 'cognitive', CASE WHEN cognitive > 30 THEN 'high' ELSE 'medium' END, CAST(cognitive AS BIGINT) FROM g WHERE cognitive > 15
+  UNION ALL SELECT file_path, 'nesting', CASE WHEN max_nesting > 6 THEN 'high' ELSE 'medium' END, CAST(max_nesting AS BIGINT) FROM n WHERE max_nesting > 4
+  UNION ALL SELECT file_path, 'size', CASE WHEN code > 1000 THEN 'high' ELSE 'medium' END, CAST(code AS BIGINT) FROM m WHERE code > 500
+  UNION ALL SELECT file_path, 'maintainability', CASE WHEN mi < 20 THEN 'high' ELSE 'medium' END, CAST(mi AS BIGINT) FROM m WHERE mi < 40""")
+def metric_issues_all(spark, d):
+    return metrics.issues(metrics.file_metrics(fx.code_files(spark, d)))
+
+
 @query("project_summary", _ALL + """, i AS (SELECT count(*) FILTER (WHERE cc > 20) + count(*) FILTER (WHERE code > 1000) + count(*) FILTER (WHERE mi < 20) AS hi,
   count(*) FILTER (WHERE cc > 10 AND cc <= 20) + count(*) FILTER (WHERE code > 500 AND code <= 1000) + count(*) FILTER (WHERE mi >= 20 AND mi < 40) AS me, count(*) AS n, sum(code) AS loc, avg(cc) AS c, avg(mi) AS a FROM m)
 SELECT n AS total_files, CAST(loc AS BIGINT) AS total_loc, floor(c * 10 + 0.5) / 10 AS avg_complexity, floor(a + 0.5) AS avg_maintainability, floor((hi * 0.5::DOUBLE + me * 0.25::DOUBLE) * 10 + 0.5) / 10 AS debt_hours,
@@ -286,7 +296,7 @@ def secrets(spark, d):
     return security.secrets(fx.code_files(spark, d))
 
 
-@query("ci_gate", _VULNS + " SELECT count(*) AS n, 'critical' AS worst, true AS failed FROM vulns")
+@query("ci_gate", _VULNS + ", k AS (SELECT severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r FROM vulns) SELECT count(*) AS n, max_by(severity, r) AS worst, coalesce(max(r) >= 3, false) AS failed FROM k")
 def ci_gate(spark, d):
     return security.ci_gate(security.vulnerabilities(fx.code_files(spark, d)))
 
@@ -306,11 +316,6 @@ def bug_patterns(spark, d):
     return security.bug_patterns(fx.code_files(spark, d))
 
 
-@query("performance_hints")
-def performance_hints(spark, d):
-    return security.performance_hints(fx.page_files(spark, d), None)
-
-
 # --- dead code ---
 
 
@@ -332,11 +337,6 @@ def unused_exports(spark, d):
     return dead_code.unused_exports(fx.symbols(spark, d), edges)
 
 
-@query("unreachable_code")
-def unreachable_code(spark, d):
-    return dead_code.unreachable_code(fx.code_files(spark, d))
-
-
 @query("unused_variables")
 def unused_variables(spark, d):
     return dead_code.unused_variables(fx.code_files(spark, d), None)
@@ -444,21 +444,21 @@ def rules_summary(spark, d):
 
 @query("context_of", WITH_GRAPH + "x AS (SELECT 1) SELECT file_path, CASE WHEN file_path LIKE '%/domain/%' THEN 'domain' WHEN file_path LIKE '%/application/%' THEN 'application' WHEN file_path LIKE '%/infrastructure/%' THEN 'infrastructure' END AS context FROM nodes")
 def context_of(spark, d):
-    return impact.context_of(fx.nodes(spark, d), impact.Architecture())
+    return impact.context_of(fx.nodes(spark, d), LAYERED)
 
 
 @query("isolation_violations", WITH_GRAPH + """x AS (SELECT 1) SELECT DISTINCT CASE WHEN a.file_path LIKE '%/domain/%' THEN 'domain' ELSE 'application' END AS context, a.file_path AS source, b.file_path AS target FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst
 WHERE (a.file_path LIKE '%/domain/%' AND (b.file_path LIKE '%/infrastructure/%' OR b.file_path LIKE '%/utils/%')) OR (a.file_path LIKE '%/application/%' AND b.file_path LIKE '%/infrastructure/%')""")
 def isolation_violations(spark, d):
-    return impact.isolation_violations(fx.edges(spark, d), fx.nodes(spark, d), impact.Architecture())
+    return impact.isolation_violations(fx.edges(spark, d), fx.nodes(spark, d), LAYERED)
 
 
-_AFFECTED = WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS distance UNION SELECT e.src, distance + 1 FROM r JOIN edges e ON e.dst = r.id WHERE e.type = 'import' AND distance < 5), a AS (SELECT id, min(distance) AS distance FROM r GROUP BY id) "
+_AFFECTED = WITH_GRAPH + "r AS (SELECT 7::BIGINT AS id, 0 AS distance UNION SELECT e.src, distance + 1 FROM r JOIN edges e ON e.dst = r.id WHERE distance < 5), a AS (SELECT id, min(distance) AS distance FROM r GROUP BY id) "
 
 
 def _affected(spark, d):
     nodes = fx.nodes(spark, d)
-    edges = fx.edges(spark, d).where("type = 'import'")
+    edges = fx.edges(spark, d)
     path = nodes.where("id = 7").select("file_path").first()[0]
     return edges, impact.affected_nodes(edges, nodes, impact.changed_nodes(nodes, [path]))
 
@@ -468,23 +468,12 @@ def affected_nodes(spark, d):
     return _affected(spark, d)[1].select("id", "name", "distance", "level")
 
 
-@query("impact_subgraph", _AFFECTED + "SELECT src, dst, type FROM edges WHERE type = 'import' AND src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a)")
+@query("impact_subgraph", _AFFECTED + "SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a)")
 def impact_subgraph(spark, d):
     edges, found = _affected(spark, d)
     return impact.impact_subgraph(edges, found)
 
 
-@query("impact_risks", _AFFECTED + "SELECT 'breaking-change' AS kind, 'high' AS severity, count(*) AS n FROM a WHERE distance = 1 HAVING count(*) > 0")
-def impact_risks(spark, d):
-    return impact.risks(_affected(spark, d)[1])
-
-
-@query("impact_recommendations")
-def impact_recommendations(spark, d):
-    found = _affected(spark, d)[1]
-    return impact.recommendations(found, impact.risks(found))
-
-
 # --- profile, questions, documents, libraries ---
 
 
@@ -498,18 +487,6 @@ def folder_mix(spark, d):
     return reports.folder_mix(fx.files(spark, d))
 
 
-@query("layer_coverage", WITH_GRAPH + """l AS (SELECT CASE WHEN file_path LIKE '%/domain/%' OR file_path LIKE '%/application/%' THEN 'business' WHEN file_path LIKE '%/infrastructure/%' THEN 'data' WHEN file_path LIKE '%/utils/%' THEN 'utility' ELSE 'other' END AS layer FROM nodes)
-SELECT layer, count(*) AS files, CAST(floor(count(*) * 100 / (SELECT count(*) FROM l)::DOUBLE + 0.5) AS BIGINT) AS percent FROM l GROUP BY 1""")
-def layer_coverage(spark, d):
-    return reports.layer_coverage(fx.nodes(spark, d))
-
-
-@query("project_problems", WITH_FILES + """n AS (SELECT file_path, len(string_split(content, chr(10))) AS v FROM files) SELECT 'god-object' AS kind, 'high' AS severity, file_path AS subject, v AS value FROM n WHERE v > 60 UNION ALL SELECT 'large-file', 'medium', file_path, v FROM n WHERE v > 20 AND v <= 60
-UNION ALL SELECT 'many-symbols', 'medium', concat('src/', replace(p_brand, '#', ''), '/', p_type, '.ts'), count(*) FROM part GROUP BY 3 HAVING count(*) > 10""")
-def project_problems(spark, d):
-    return reports.problems(fx.files(spark, d), fx.symbols(spark, d), 60, 20, 10)
-
-
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in fixed.INTENTS if p.isascii()) + " ELSE 'general' END"
 
 
@@ -530,11 +507,6 @@ def usages(spark, d):
     return reports.usages(fx.files(spark, d), "thing", None)
 
 
-@query("fuzzy_symbols")
-def fuzzy_symbols(spark, d):
-    return reports.fuzzy_symbols(fx.symbols(spark, d), ["redWidget", "bolt"])
-
-
 @query("detect_libraries", WITH_PAGES.replace("pages/p_", "vendor/p_") + "x AS (SELECT 1) SELECT file_path, regexp_replace(split_part(file_path, '/', 2), '\\.js$', '') AS name, 'vendor-dir' AS detected_by FROM files")
 def detect_libraries(spark, d):
     f = fx.page_files(spark, d).withColumn("file_path", F.regexp_replace("file_path", "^pages/", "vendor/"))
@@ -551,11 +523,6 @@ def parse_declarations(spark, d):
     return parse.symbols(parse.parse_declarations(fx.code_files(spark, d)))
 
 
-@query("language_of", f"WITH files AS ({fx.CODE_FILES_SQL}) SELECT file_path, 'javascript' AS language FROM files")
-def language_of(spark, d):
-    return fx.code_files(spark, d).select("file_path", parse.language_of(F.col("file_path")).alias("language"))
-
-
 @query("symbol_statistics", WITH_SYMBOLS + "x AS (SELECT 1) SELECT kind, count(*) AS n FROM symbols GROUP BY 1")
 def symbol_statistics(spark, d):
     return parse.symbol_statistics(fx.symbols(spark, d))
@@ -571,11 +538,9 @@ def graphml_nodes(spark, d):
     return reports.graphml_nodes(fx.nodes(spark, d))
 
 
-@query("metrics_csv", _ALL + """ SELECT file_path, total, code, comments FROM loc""")
+@query("metrics_csv", _ALL + ", " + _COGNITIVE.replace(_LINES, "") + """ SELECT concat('"', file_path, '",', total, ',', loc.code, ',', loc.comments, ',', cc, ',', CAST(cognitive AS INT), ',', printf('%.2f', mi), ',0,0,0.50') AS line FROM loc JOIN m USING (file_path) JOIN g USING (file_path)""")
 def metrics_csv(spark, d):
-    rows = reports.metrics_csv(metrics.file_metrics(fx.code_files(spark, d)))
-    line = F.split("line", ",")
-    return rows.select(F.trim(line[0], F.lit('"')).alias("file_path"), line[1].cast("int").alias("total"), line[2].cast("int").alias("code"), line[3].cast("int").alias("comments"))
+    return reports.metrics_csv(metrics.file_metrics(fx.code_files(spark, d)))
 
 
 # --- chunks, snapshots, streams ---
@@ -669,11 +634,6 @@ def merkle_combined(spark, d):
     return snapshot.merkle_combined(snapshot.snapshot(fx.files(spark, d)))
 
 
-@query("relationships", WITH_CODE + r"c AS (SELECT file_path, unnest(list_distinct(regexp_extract_all(content, '(?:^|[^.\w])(\w+)\s*\(', 1))) AS object FROM files) SELECT file_path, 'calls' AS kind, object FROM c")
-def relationships(spark, d):
-    return relations.relationships(fx.code_files(spark, d), None).drop("subject")
-
-
 _EVENTS = "e AS (SELECT concat('src/f', user_id, '.ts') AS path, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'change' END AS type, ts FROM events)"
 _SESSIONS = "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS k FROM g), c AS (SELECT path, max_by(type, ts) AS type, max(ts) AS ts, count(*) AS n FROM s GROUP BY path, k)"
 

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from loomstack.plans import fixture_queries  # noqa: F401
+    from loomstack.plans import fixture_queries, project_queries  # noqa: F401

@@ -95,14 +95,46 @@ def package_dependencies(packages: DataFrame, content: str = "content") -> DataF
     return one("dependencies", False).union(one("devDependencies", True)).distinct()
 
 
-def alias_map(config_text: str) -> dict[str, str]:
-    """Import prefixes of a jsconfig or tsconfig, over the defaults ``@/`` and ``~/``."""
-    out = {"@/": "src/", "~/": ""}
+#: What a dependency says about a project, the first hit of each kind counts (fixed values).
+STACK_LADDER = {
+    "Frontend": [("Vue.js", "vue @vue/cli"), ("React", "react react-dom"), ("Angular", "@angular/core"), ("Svelte", "svelte"), ("Next.js (React)", "next"), ("Nuxt.js (Vue)", "nuxt"), ("Remix (React)", "@remix-run/react"), ("Vanilla JS (no framework)", "jquery bootstrap tailwindcss @mui/material")],
+    "Backend": [("Express", "express"), ("Fastify", "fastify"), ("NestJS", "@nestjs/core"), ("Koa", "koa"), ("Hapi", "hapi")],
+    "Database": [("PostgreSQL", "pg postgres"), ("MongoDB", "mongodb mongoose"), ("MySQL", "mysql mysql2"), ("SQLite", "sqlite3 better-sqlite3"), ("Redis", "redis ioredis")],
+    "Build": [("Vite", "vite"), ("Webpack", "webpack"), ("Rollup", "rollup"), ("Parcel", "parcel"), ("esbuild", "esbuild")],
+}
+
+
+def project_stack(packages: DataFrame, content: str = "content") -> DataFrame:
+    """``packages`` with stack (map of kind to name) and description of each package.json; a null content has neither."""
+    p = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
+    found = {kind: F.coalesce(*[F.when(F.arrays_overlap("__names", F.array(*[F.lit(d) for d in deps.split()])), name) for name, deps in ladder]) for kind, ladder in STACK_LADDER.items()}
+    parts = F.array_join(F.array(*[F.concat(F.lit(f"{k}: "), v) for k, v in found.items()]), ", ")
+    text = F.when(F.col(content).isNull(), "Unknown stack (package.json not found)").when(parts == "", "Minimal project (no major frameworks)").otherwise(parts)
+    stack = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in found]), F.array(*found.values())), lambda k, v: v.isNotNull())
+    keyed = packages.withColumn("__names", F.array_distinct(F.concat(*[F.coalesce(F.map_keys(p[k]), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies")])))
+    return keyed.withColumn("stack", F.when(F.col(content).isNotNull(), stack)).withColumn("description", text).drop("__names")
+
+
+def alias_map(config_text: str = "", vite_text: str = "") -> dict[str, str]:
+    """Import prefixes of a jsconfig or tsconfig and of a Vite config, over the defaults ``@/`` and ``~/``."""
+    out = {"@/": "src/"}
     try:
-        paths = json.loads(re.sub(r"(?m)^\s*//.*$", "", config_text)).get("compilerOptions", {}).get("paths", {})
+        options = json.loads(re.sub(r"(?m)^\s*//.*$", "", config_text)).get("compilerOptions", {})
     except ValueError:
-        return out
-    return out | {k.rstrip("*"): v[0].rstrip("*").removeprefix("./") for k, v in paths.items() if v}
+        options = {}
+    base = options.get("baseUrl") or "."
+    for alias, targets in (options.get("paths") or {}).items():
+        if not isinstance(targets, list) or not targets:
+            continue
+        short = lambda x: x.replace("/*", "/", 1).replace("*", "", 1)
+        target = short(targets[0])
+        if alias.endswith("$") and "node_modules" in target:
+            continue
+        out[short(alias.removesuffix("$"))] = (target if base == "." else f"{base}/{target}").removeprefix("./")
+    pattern = r"""['"](@/?|~/?)['"]\s*:\s*(?:path\.resolve\s*\([^)]*['"]([^'"]+)['"]\)|['"]\.?/?([^'"]+)['"])"""
+    for alias, resolved, plain in re.findall(pattern, vite_text):
+        out[alias.rstrip("/") + "/"] = (resolved or plain) + "/"
+    return out | {"~/": ""}
 
 
 def native_language(path: Column) -> Column:

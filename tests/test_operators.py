@@ -240,7 +240,17 @@ def test_engine(spark, tmp_path):
     assert [r.file for r in e.get_dependents("src/b.ts").collect()] == ["src/a.ts"]
     assert e.search("alpha").first().file_path == "src/a.ts"
     assert {r.name for r in e.get_symbols().where("exports").collect()} == {"alpha"} | {r.name for r in e.get_symbols().where("exports").collect()}
-    assert e.export("csv").startswith("File,LOC") and "<graphml" in e.export("graphml") and "summary" in json.loads(e.export("json"))
+    assert "summary" in json.loads(e.export("json")) and json.loads(e.export("json", "demo"))["projectName"] == "demo"
+    for form, first in (("csv", "File,LOC"), ("graphml", "<graphml")):
+        e.export_to(f"file://{tmp_path}/out-{form}", form)
+        parts = sorted((tmp_path / f"out-{form}").glob("part-*"))
+        assert "".join(x.read_text() for x in parts).startswith(first)
+    e.export_to(f"file://{tmp_path}/out-json")
+    assert spark.read.json(f"file://{tmp_path}/out-json/symbols").count() == e.get_symbols().count()
+    assert e.find_symbol("alpha").first().file_path == "src/a.ts" and {r.name for r in e.find_symbols_in_file("src/a.ts").collect()} == {"alpha"}
+    assert set(e.context("where is class alpha")) >= {"symbols", "usages", "impact"} and set(e.context("find bugs")) == {"issues", "files"}
+    assert "alpha" in e.ask("where is function alpha") and "# Impact Analysis: d" in e.impact_report("d", ["src/b.ts"])
+    assert e.index.stats().first().documents == 2 and "avg_function_complexity" in e.get_metrics().columns
     e.reindex(spark.createDataFrame([("src/b.ts", None)], "file_path string, content string"))
     assert e.files.count() == 1
 
@@ -250,7 +260,50 @@ def test_impact(spark):
     n = spark.createDataFrame([(x, "file", x, f"src/core/{x}.ts") for x in "abc"], "id string, type string, name string, file_path string")
     found = impact.affected_nodes(e, n, impact.changed_nodes(n, ["src/core/a.ts"]))
     assert sorted((r.id, r.level) for r in found.collect()) == [("a", "critical"), ("b", "high"), ("c", "medium")]
-    assert {r.kind for r in impact.risks(found).collect()} == {"breaking-change", "core-module"}
+    assert [(r.kind, r.severity) for r in impact.risks(found).collect()] == [("api-change", "high"), ("core-system-risk", "critical")]
+    assert [r.kind for r in impact.risks(found.limit(0), "delete").collect()] == ["deletion-risk"]
+    report = impact.impact_report(found, impact.risks(found), impact.recommendations(found, impact.risks(found)), "x", files=1)
+    assert "### CRITICAL Impact (1)\n\n- **a** (src/core/a.ts)" in report and "## Recommendations" in report
+
+
+def test_architecture_model(spark, tmp_path):
+    model = impact.Architecture([impact.Context("a", ["/a/"], ["/b/"])], entities=[{"name": "E", "context": "a"}], validators=[impact.circular])
+    model.save(spark, f"file://{tmp_path}/m")
+    back = impact.Architecture.load(spark, f"file://{tmp_path}/m")
+    assert back.contexts == model.contexts and "### E\n**Context:** a" in back.report()
+    assert [c.name for c in impact.Architecture.load(spark, f"file://{tmp_path}/none").contexts] == ["Core", "UI", "External"] == [c.name for c in impact.Architecture.from_json("[").contexts]
+    n = spark.createDataFrame([("x", "p/a/x"), ("y", "p/b/y")], "id string, file_path string")
+    e = spark.createDataFrame([("x", "y"), ("y", "x")], "src string, dst string")
+    assert sorted(rows(impact.isolation_violations(e, n, model))) == [("a", "p/a/x", "p/b/y"), ("no-circular-deps", "y", "x")]
+
+
+def test_aliases_and_stack(spark):
+    from loomstack.sources import files as src
+
+    tsconfig = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./app/*"], "vue$": ["node_modules/vue"], "lib/*": ["libs/*"]}}}'
+    vite = "alias: { '@': path.resolve(__dirname, 'front'), \"~\": './root' }"
+    assert src.alias_map(tsconfig) == {"@/": "app/", "lib/": "libs/", "~/": ""}
+    assert src.alias_map("", vite) == {"@/": "front/", "~/": ""} and src.alias_map("not json") == {"@/": "src/", "~/": ""}
+    p = spark.createDataFrame([('{"dependencies": {"next": "1", "redis": "2"}}',), (None,), ("broken",)], "content string")
+    assert [r.description for r in src.project_stack(p).collect()] == ["Frontend: Next.js (React), Database: Redis", "Unknown stack (package.json not found)", "Minimal project (no major frameworks)"]
+
+
+def test_entities_and_snippets(spark):
+    q = "\u0433\u0434\u0435 \u0444\u0443\u043d\u043a\u0446\u0438\u044f saveUser \u0438 \u043f\u0430\u0440\u043e\u043b\u044c in 'auth.ts', the UserStore"
+    got = spark.createDataFrame([(q,)], "q string").select(reports.entities(F.col("q"))).first()[0]
+    assert got == ["auth.ts", "saveUser", "UserStore", "password", "pwd", "pass", "saveuser", "auth", "userstore"]
+    f = one(spark, "a\nb\nc\nd")
+    assert reports.snippets(f, spark.createDataFrame([("src/a.js", 2)], "file_path string, line int"), 1).first().snippet == " \u2009".replace("\u2009", "") + "   1\u2502 a\n\u2192   2\u2502 b\n    3\u2502 c"
+
+
+def test_search_index(spark):
+    docs = spark.createDataFrame([("a", "hello world"), ("b", "hello hello graph"), ("c", "graph search index")], "file_path string, content string")
+    index = search.SearchIndex(docs)
+    assert rows(index.search("hello")) == [("b", 1.666495), ("a", 1.460205)]
+    index.update(spark.createDataFrame([("b", None), ("d", "hello there")], "file_path string, content string"))
+    assert {r.doc_id for r in index.search("hello").collect()} == {"a", "d"} and index.stats().first().documents == 3
+    index.clear()
+    assert index.search("hello").count() == 0 and index.stats().first().documents == 0
 
 
 def test_empty_tables(spark):
