@@ -1,21 +1,22 @@
-"""Line dedup: repeated runs of lines, named by prefix doubling.
+"""Line dedup: a suffix array over sequences of line IDs, by prefix doubling.
 
 A document is the sequence of its lines that have a word; equal lines (128-bit
-hash) have one ID.  Prefix doubling gives each run of 1, 2, 4, ... lines the
-name of its class, the place where the run first occurs, from the names of its
-two halves: one aggregation and one join of the runs that still repeat (the
-LCP intervals of that depth; unique runs drop out).  A run of any length is
-named by two overlapping runs of a power of two, as in a sparse table.
+hash) have one ID.  Prefix doubling sorts the suffixes by their first 1, 2,
+4, ... lines: a level's rank of a suffix is the place of (rank of its first
+half, rank of its second half) in the sorted order of all such pairs.  Pairs
+are first counted, so the sort sees one row for each distinct pair, dealt by
+range; suffixes that are alone drop out.  Suffixes of equal rank are the
+interval of a longest common prefix of at least that many lines.  An interval
+of any other depth is that of two overlapping runs of a power of two.
 
 A line is deleted if it lies in a run of at least ``min_words`` words that also
-starts earlier (smaller id, or the same document and an earlier line).  All
-such runs are covered by the shortest ones of enough words that start, or
-end, at each line, so doubling ends at ``min_words`` lines.
+starts earlier (smaller id, or the same document and an earlier line).  Every
+line of a maximal repeated run of enough words lies in one of the shortest
+runs of enough words that start, or end, at a line of it, and these have at
+most ``min_words`` lines.  So intervals of a depth of ``min_words`` lines reveal
+the maximal runs whole, as unions, and doubling ends there.
 
-Names are places of first occurrence and not sorted ranks: equality is all
-that deletion needs, and no global order of suffixes has to be kept.
-
-Tables of places and names compress to far less than they are in memory, so
+Tables of places and ranks compress to far less than they are in memory, so
 joins with them are told to sort and merge, never to broadcast by file size.
 
 Edge cases: null and empty texts have no lines and stay as they are; lines
@@ -39,13 +40,13 @@ def _place() -> Column:
     return F.struct("id", "uid", "line")
 
 
-def _named(rows: DataFrame, key: list[str], tag: str) -> Table:
-    """Rows whose key repeats, with the first place (fu, fl) of the key."""
-    repeated = rows.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.col("f.uid").alias("fu"), F.col("f.line").alias("fl"))
+def _ranked(rows: DataFrame, key: list[str], tag: str) -> Table:
+    """Rows whose key repeats, with its ``rank``: numbers of the partitions of a range sort, in order, and of the keys in each."""
+    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A table, not an aggregate, so that Spark can split the places of a frequent key over tasks.
-    first = Table(repeated, f"{tag}-first")
-    out = Table(rows.join(first.df.hint("merge"), key).drop(*key), tag)
-    first.drop()
+    order = Table(repeated.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()), f"{tag}-order", few=True)
+    out = Table(rows.join(order.df.hint("merge"), key).drop(*key), tag, few=True)
+    order.drop()
     return out
 
 
@@ -56,14 +57,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     plain = parts.select("uid", "id", "no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), words.alias("words"))
     by_doc = W.partitionBy("uid").orderBy("no")
     lines = plain.withColumn("line", F.row_number().over(by_doc)).withColumn("upto", F.sum("words").over(by_doc))
-    levels = [_named(lines, ["h1", "h2"], "lines-0")]
+    levels = [_ranked(lines, ["h1", "h2"], "lines-0")]
     base = levels[0].df
     step = 1
     while step * 2 <= min_words:
         low = levels[-1].df
-        half = low.select("uid", (F.col("line") - step).alias("line"), F.col("fu").alias("gu"), F.col("fl").alias("gl"))
-        pairs = low.select("uid", "id", "line", F.col("fu").alias("eu"), F.col("fl").alias("el")).join(half.hint("merge"), ["uid", "line"])
-        levels.append(_named(pairs, ["eu", "el", "gu", "gl"], f"lines-{2 * step}"))
+        half = low.select("uid", (F.col("line") - step).alias("line"), F.col("rank").alias("r2"))
+        pairs = low.select("uid", "id", "line", F.col("rank").alias("r1")).join(half.hint("merge"), ["uid", "line"])
+        levels.append(_ranked(pairs, ["r1", "r2"], f"lines-{2 * step}"))
         step *= 2
     # The shortest runs of enough words that start, or end, at a line; only lines that repeat can be in one.
     island = F.col("line") - F.row_number().over(W.partitionBy("uid").orderBy("line"))
@@ -76,22 +77,22 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     start = F.array_max(F.transform(F.filter("b", lambda x: F.col("upto") - x["before"] >= min_words), lambda x: x["line"]))
     spans = reach.select("uid", "id", "line", last.alias("last"), start.alias("start"))
     runs = spans.where("last is not null").select("uid", "id", "line", (F.col("last") - F.col("line") + 1).alias("n")).union(spans.where("start is not null").select("uid", "id", F.col("start").alias("line"), (F.col("line") - F.col("start") + 1).alias("n"))).distinct()
-    runs = Table(runs, "runs")
+    runs = Table(runs, "runs", few=True)
     hits, firsts = None, []
     for k, level in enumerate(levels):
         size = 1 << k
         mine = runs.df.where((F.col("n") >= size) & (F.col("n") < 2 * size))
-        name = level.df.select("uid", "line", "fu", "fl")
-        tail = name.select("uid", F.col("line").alias("tail"), F.col("fu").alias("gu"), F.col("fl").alias("gl"))
+        name = level.df.select("uid", "line", F.col("rank").alias("r1"))
+        tail = name.select("uid", F.col("line").alias("tail"), F.col("r1").alias("r2"))
         both = mine.join(name.hint("merge"), ["uid", "line"]).withColumn("tail", F.col("line") + F.col("n") - size).join(tail.hint("merge"), ["uid", "tail"])
-        key = ["n", "fu", "fl", "gu", "gl"]
+        key = ["n", "r1", "r2"]
         first = both.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select(*key, F.col("f.uid").alias("ou"), F.col("f.line").alias("ol"))
-        firsts.append(Table(first, "runs-first"))
+        firsts.append(Table(first, "runs-first", few=True))
         again = both.join(firsts[-1].df.hint("merge"), key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
         hits = again if hits is None else hits.union(again)
     gone = hits.select("uid", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line")).distinct()
     numbers = gone.join(base.select("uid", "line", "no").hint("merge"), ["uid", "line"]).groupBy("uid").agg(F.sort_array(F.collect_list("no")).alias("gone"))
-    out = Table(numbers, "gone")
+    out = Table(numbers, "gone", few=True)
     for t in (*levels, runs, *firsts):
         t.drop()
     return out.df
@@ -107,7 +108,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     gone = repeated_lines(base.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"), F.col(text).alias("text")), min_words)
     full = base.join(gone.withColumnRenamed("uid", "__uid").withColumnRenamed("gone", "__gone").hint("merge"), "__uid", "left")
     parts, g = F.split(F.col(text), "\n", -1), F.col("__gone")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(g, i)), "\n")
+    stay = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), g), lambda i: F.get(p, i)), "\n")
+    left = F.transform(F.array(parts), stay)[0]
     runs = F.size(F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1) != x - 1)))
     out = full.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
     out = out.withColumn("n_removed", F.when(g.isNull(), 0).otherwise(F.size(g)).cast("long")).withColumn("n_runs", F.when(g.isNull(), 0).otherwise(runs).cast("long"))
