@@ -39,8 +39,9 @@ def sliding_chunks(files: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TO
 
     def step(a: Column, t: Column) -> Column:
         full = (a["tokens"] + t > most) & (a["tokens"] > 0)
-        before = F.reverse(F.slice("ts", 1, a["i"]))
-        back = F.aggregate(F.slice(before, 1, overlap), back0, lambda b, x: F.when(b["sum"] < overlap, F.struct((b["n"] + 1).alias("n"), (b["sum"] + x).alias("sum"))).otherwise(b))
+        # The last lines before this one, nearest first; no more than the overlap's tokens can be needed.
+        near = F.reverse(F.slice("ts", F.greatest(a["i"] - overlap + 1, F.lit(1)), F.least(a["i"], F.lit(overlap))))
+        back = F.aggregate(near, back0, lambda b, x: F.when(b["sum"] < overlap, F.struct((b["n"] + 1).alias("n"), (b["sum"] + x).alias("sum"))).otherwise(b))
         cut = F.array(F.struct(a["start"].alias("start"), (a["i"] - 1).alias("end"), a["tokens"].alias("tokens")))
         fresh = F.struct((a["i"] + 1).alias("i"), (a["i"] - back["n"]).alias("start"), (back["sum"] + t).alias("tokens"), F.concat(a["out"], cut).alias("out"))
         same = F.struct((a["i"] + 1).alias("i"), a["start"].alias("start"), (a["tokens"] + t).alias("tokens"), a["out"].alias("out"))
@@ -50,9 +51,16 @@ def sliding_chunks(files: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TO
         last = F.array(F.struct(a["start"].alias("start"), (a["i"] - 1).alias("end"), a["tokens"].alias("tokens")))
         return F.when(a["tokens"] >= least, F.concat(a["out"], last)).otherwise(a["out"])
 
-    found = base.select("file_path", "ls", F.posexplode(F.aggregate("ts", zero, step, done)).alias("chunk", "c"))
-    text = F.concat(F.array_join(F.slice("ls", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), "\n"), F.lit("\n"))
-    return found.select("file_path", "chunk", (F.col("c.start") + 1).alias("start_line"), (F.col("c.end") + 1).alias("end_line"), "c.tokens", text.alias("content"))
+    cuts = base.select("file_path", "ls", F.aggregate("ts", zero, step, done).alias("cuts"))
+    text = lambda ls, c: F.concat(F.array_join(F.slice(ls, c["start"] + 1, c["end"] - c["start"] + 1), "\n"), F.lit("\n"))
+    pieces = pieces_of("cuts", lambda ls, c: F.struct((c["start"] + 1).alias("start_line"), (c["end"] + 1).alias("end_line"), c["tokens"].alias("tokens"), text(ls, c).alias("content")))
+    return cuts.select("file_path", F.posexplode(pieces).alias("chunk", "c")).select("file_path", "chunk", "c.*")
+
+
+def pieces_of(cuts: str, piece) -> Column:
+    """``piece`` of the lines and of each cut, made inside the array so that no row carries all lines of its file."""
+    both = F.struct(F.col("ls").alias("ls"), F.col(cuts).alias("cuts"))
+    return F.flatten(F.transform(F.array(both), lambda x: F.transform(x["cuts"], lambda c: piece(x["ls"], c))))
 
 
 #: Lines that begin a logical block, by language; other languages break on braces.
@@ -90,9 +98,10 @@ def logical_chunks(files: DataFrame, most_chars: int = 4000) -> DataFrame:
 
     last = lambda a: F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["i"] - 1).alias("end"))))
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.size(rows) - 1).alias("end")))
-    found = files.select("file_path", rows.alias("ls"), F.posexplode(F.when(F.length("content") <= most_chars, whole).otherwise(F.aggregate(rows, zero, step, last))).alias("chunk", "c"))
-    name = F.regexp_extract(F.get("ls", F.col("c.start")), r"(?:function|class|def|interface|enum|type|const|func|fn|struct|trait|impl|module)\s+(\w+)", 1)
-    return found.select("file_path", "chunk", (F.col("c.start") + 1).alias("start_line"), (F.col("c.end") + 1).alias("end_line"), name.alias("name"))
+    cuts = files.select("file_path", rows.alias("ls"), F.when(F.length("content") <= most_chars, whole).otherwise(F.aggregate(rows, zero, step, last)).alias("cuts"))
+    name = lambda ls, c: F.regexp_extract(F.get(ls, c["start"]), r"(?:function|class|def|interface|enum|type|const|func|fn|struct|trait|impl|module)\s+(\w+)", 1)
+    pieces = pieces_of("cuts", lambda ls, c: F.struct((c["start"] + 1).alias("start_line"), (c["end"] + 1).alias("end_line"), name(ls, c).alias("name")))
+    return cuts.select("file_path", F.posexplode(pieces).alias("chunk", "c")).select("file_path", "chunk", "c.*")
 
 
 # --- the byte-based estimate, boundaries and chunks along them ------------------
@@ -165,9 +174,13 @@ def boundaries(files: DataFrame) -> DataFrame:
     rows = F.split("content", "\n", -1)
     imports = files.select("file_path", F.posexplode(rows).alias("i", "s")).where(F.col("s").rlike(r"^\s*(import|from|use|using|#include|require)(?![A-Za-z0-9_])"))
     both = found.union(imports.select("file_path", "i", F.lit("import"), F.lit(None).cast("string")))
-    net = lambda s: F.length(F.replace(s, F.lit("}"), F.lit(""))) - F.length(F.replace(s, F.lit("{"), F.lit("")))
-    depth = F.aggregate(F.slice(rows, F.lit(1), F.col("i")), F.lit(0), lambda a, s: F.greatest(F.lit(0), a + net(s)))
-    return both.join(files.select("file_path", "content"), "file_path").select("file_path", (F.col("i") + 1).alias("line"), "type", "name", depth.alias("depth"))
+    # Depth before a line: the sum of what opens less what closes, less its least value so far if that is negative.
+    net = F.length(F.replace("s", F.lit("}"), F.lit(""))) - F.length(F.replace("s", F.lit("{"), F.lit("")))
+    upto = W.partitionBy("file_path").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    deep = files.select("file_path", F.posexplode(rows).alias("i", "s")).select("file_path", "i", net.alias("net"))
+    deep = deep.withColumn("sum", F.coalesce(F.sum("net").over(upto), F.lit(0))).withColumn("least", F.coalesce(F.min("sum").over(upto.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    depth = (F.col("sum") - F.least(F.lit(0), F.col("least"))).cast("int")
+    return both.join(deep, ["file_path", "i"]).select("file_path", (F.col("i") + 1).alias("line"), "type", "name", depth.alias("depth"))
 
 
 def boundary_chunks(files: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
@@ -178,9 +191,12 @@ def boundary_chunks(files: DataFrame, most: int = MAX_TOKENS, overlap: int = OVE
     rows = files.join(marks, "file_path", "left").select("file_path", F.split("content", "\n", -1).alias("ls"), F.coalesce("marks", F.array().cast("array<struct<line:int,type:string,name:string>>")).alias("marks"))
     head = F.struct(F.lit(1).alias("line"), F.lit("unknown").alias("type"), F.lit(None).cast("string").alias("name"))
     marks = F.when(F.get("marks", 0)["line"] == 1, F.col("marks")).otherwise(F.concat(F.array(head), F.col("marks")))
-    parts = rows.withColumn("marks", marks).select("file_path", "ls", "marks", F.posexplode("marks").alias("k", "m"))
-    end = F.coalesce(F.get("marks", F.col("k") + 1)["line"] - 1, F.size("ls"))
-    regions = parts.select(F.col("file_path").alias("path"), "k", "m.type", "m.name", F.col("m.line").alias("first"), F.array_join(F.slice("ls", F.col("m.line"), end - F.col("m.line") + 1), "\n").alias("content")).where(F.col("content").rlike(r"\S"))
+    # Each mark with the line before the next one; regions are cut inside the array.
+    ended = F.transform(F.col("marks"), lambda m, k: F.struct(k.alias("k"), m["type"].alias("type"), m["name"].alias("name"), m["line"].alias("first"), F.coalesce(F.get("marks", k + 1)["line"] - 1, F.size("ls")).alias("end")))
+    parts = rows.withColumn("marks", marks).select("file_path", "ls", ended.alias("cuts"))
+    body = lambda ls, c: F.array_join(F.slice(ls, c["first"], c["end"] - c["first"] + 1), "\n")
+    pieces = pieces_of("cuts", lambda ls, c: F.struct(c["k"].alias("k"), c["type"].alias("type"), c["name"].alias("name"), c["first"].alias("first"), body(ls, c).alias("content")))
+    regions = parts.select(F.col("file_path").alias("path"), F.explode(pieces).alias("r")).select("path", "r.*").where(F.col("content").rlike(r"\S"))
     keyed = regions.withColumn("file_path", F.concat_ws("\u0000", "path", F.col("k").cast("string")))
     pieces = sliding_chunks(keyed, most, 1, overlap).withColumnRenamed("content", "piece")
     out = pieces.join(keyed.drop("content"), "file_path")

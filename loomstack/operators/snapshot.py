@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstack.functions.storage import Table
+
 
 def content_hash(content: Column) -> Column:
     """The first 16 hex digits of SHA-256 as an unsigned decimal string; "0" for an empty content."""
@@ -61,23 +63,28 @@ def flat_root_hash(snap: DataFrame) -> DataFrame:
     return part.agg(content_hash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "")).alias("root_hash"))
 
 
-def merkle(snap: DataFrame) -> DataFrame:
-    """(path, hash) of every file and folder: a folder's hash is the digest of its children's in the order of names."""
-    deepest = snap.agg(F.max(F.size(F.split("path", "/", -1)))).first()[0] or 0
+def _folded(files: DataFrame, digest) -> DataFrame:
+    """(path, hash) of files (path, hash, depth) and of all folders, from the deepest up; each level is stored, as both the next one and the result read it."""
+    deepest = files.agg(F.max("depth")).first()[0] or 0
     parent = F.regexp_replace("path", r"/?[^/]*\z", "")
-    files = snap.select("path", F.col("content_hash").alias("hash"))
-    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/", -1)))
-    files = files.withColumn("depth", depth)
     done, folders = files.select("path", "hash"), None
     for d in range(deepest, 0, -1):
         level = files.where(F.col("depth") == d).select("path", "hash")
         if folders is not None:
             level = level.union(folders)
-        folders = level.groupBy(parent.alias("parent")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), ","), 256).alias("hash")).select(F.col("parent").alias("path"), "hash")
+        children = F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"])
+        up = level.groupBy(parent.alias("parent")).agg(digest(children).alias("hash")).select(F.col("parent").alias("path"), "hash")
+        folders = Table(up, "merkle", few=True).df
         done = done.union(folders)
     return done
 
 
+def merkle(snap: DataFrame) -> DataFrame:
+    """(path, hash) of every file and folder: a folder's hash is the digest of its children's in the order of names."""
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/", -1)))
+    return _folded(snap.select("path", F.col("content_hash").alias("hash"), depth.alias("depth")), lambda xs: F.sha2(F.array_join(xs, ","), 256))
+
+
 _LOW = (1 << 32) - 1
 
 
@@ -95,17 +102,8 @@ def combine(h1: Column, h2: Column) -> Column:
 
 def merkle_combined(snap: DataFrame) -> DataFrame:
     """(path, hash): as ``merkle``, a folder's hash being the fold of ``combine`` over its children's; unsigned decimal."""
-    deepest = snap.agg(F.max(F.size(F.split("path", "/", -1)))).first()[0] or 0
-    parent = F.regexp_replace("path", r"/?[^/]*\z", "")
     files = snap.select("path", F.conv("content_hash", 10, -10).cast("long").alias("hash"), F.size(F.split("path", "/", -1)).alias("depth"))
-    done, folders = files.select("path", "hash"), None
-    for d in range(deepest, 0, -1):
-        level = files.where(F.col("depth") == d).select("path", "hash")
-        if folders is not None:
-            level = level.union(folders)
-        fold = F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), F.lit(0).cast("long"), combine)
-        folders = level.groupBy(parent.alias("parent")).agg(fold.alias("hash")).select(F.col("parent").alias("path"), "hash")
-        done = done.union(folders)
+    done = _folded(files, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), combine))
     return done.select("path", F.conv(F.col("hash").cast("string"), 10, 10).alias("hash"))
 
 
