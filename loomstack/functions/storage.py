@@ -31,19 +31,26 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a file of a narrow table.
+ROWS_A_FILE = 1 << 17
+
+
 class Table:
     """A DataFrame written to the shared folder; lineage ends here.
 
-    With ``few`` the table is known to be a small part of the corpus (keys,
-    links, counts): it is written by some tasks a core, not by one for each
-    shuffle partition, so that it is no heap of tiny files.
+    ``rows`` says about how many narrow rows (keys, links, counts) there are at
+    most: where ``ROWS_A_FILE`` of them make fewer files than there are shuffle
+    partitions, a task writes up to four partitions, so that they are no heap of
+    tiny files.  (It takes no more, as what one partition's join sorts may be
+    held until its task ends.)
     """
 
-    def __init__(self, df: DataFrame, tag: str, few: bool = False):
+    def __init__(self, df: DataFrame, tag: str, rows: int | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        if few:
-            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        if rows is not None:
+            quarter = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, quarter, -(-rows // ROWS_A_FILE)))
         # No job looks for a mark of success: a failed write raises.
         df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

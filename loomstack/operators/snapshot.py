@@ -65,7 +65,8 @@ def flat_root_hash(snap: DataFrame) -> DataFrame:
 
 def _folded(files: DataFrame, digest) -> DataFrame:
     """(path, hash) of files (path, hash, depth) and of all folders, from the deepest up; each level is stored, as both the next one and the result read it."""
-    deepest = files.agg(F.max("depth")).first()[0] or 0
+    deepest, n = files.agg(F.max("depth"), F.count(F.lit(1))).first()
+    deepest = deepest or 0
     parent = F.regexp_replace("path", r"/?[^/]*\z", "")
     done, folders = files.select("path", "hash"), None
     for d in range(deepest, 0, -1):
@@ -74,7 +75,7 @@ def _folded(files: DataFrame, digest) -> DataFrame:
             level = level.union(folders)
         children = F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"])
         up = level.groupBy(parent.alias("parent")).agg(digest(children).alias("hash")).select(F.col("parent").alias("path"), "hash")
-        folders = Table(up, "merkle", few=True).df
+        folders = Table(up, "merkle", n).df
         done = done.union(folders)
     return done
 
