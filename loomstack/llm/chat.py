@@ -8,7 +8,9 @@ Edge cases: null roles and texts render as empty and equal each other only;
 equal conversations have empty completions; a side without turns has an empty
 completion and the prompt is empty; a pair that lacks a side is returned with
 that side empty; repeated turn numbers are ordered by role and text; an empty
-table gives no pair.
+table gives no pair; texts are rendered whole, however long; columns of the
+pairs named like a result are replaced, all others are kept.  A conversation is
+gathered in one row, so its turns together must fit a task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstack.llm.common import replace_columns
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -37,11 +41,16 @@ def render(turns: Column) -> Column:
 
 def loss_spans(turns: Column) -> Column:
     """(start, end) of each assistant text and its closing mark in the rendered turns."""
-    size = lambda t: F.length(_render(t))
-    ends = F.aggregate(turns, F.array(F.lit(0)).cast("array<int>"), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + size(t))))
     head = lambda t: F.length(F.coalesce(t["role"], F.lit(""))) + len(OPEN) + len(MIDDLE)
-    spans = F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", F.struct((F.get(ends, i) + head(t)).alias("start"), F.get(ends, i + 1).alias("end"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+    sized = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("loss"), head(t).alias("head"), F.length(_render(t)).alias("size")))
+    ends = F.aggregate(sized, F.array(F.lit(0)).cast("array<int>"), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["size"])))
+
+    def spans(both: Column) -> Column:
+        found = F.transform(both["sized"], lambda t, i: F.when(t["loss"], F.struct((F.get(both["ends"], i) + t["head"]).alias("start"), F.get(both["ends"], i + 1).alias("end"))))
+        return F.filter(found, lambda s: s.isNotNull())
+
+    # Both arrays are values of a lambda, so they are computed once and not for every turn.
+    return F.transform(F.array(F.struct(sized.alias("sized"), ends.alias("ends"))), spans)[0]
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -51,12 +60,13 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     same = F.zip_with(a, b, lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     at = F.array_position(same, False)
     n = F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
-    out = pairs.withColumn("__a", a).withColumn("__b", b).withColumn("n_prompt_turns", n)
+    results = ["n_prompt_turns", "prompt", *(f"{s}_{c}" for s in ("chosen", "rejected") for c in ("completion", "spans"))]
+    out = replace_columns(pairs.withColumn("__a", a).withColumn("__b", b).withColumn("__n", n).drop(chosen, rejected), results).withColumnRenamed("__n", "n_prompt_turns")
     rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.size(c))
     out = out.withColumn("prompt", render(F.slice("__a", 1, F.col("n_prompt_turns"))))
     for side, c in (("chosen", "__a"), ("rejected", "__b")):
         out = out.withColumn(f"{side}_completion", render(rest(F.col(c)))).withColumn(f"{side}_spans", loss_spans(rest(F.col(c))))
-    return out.drop("__a", "__b", *{chosen, rejected})
+    return out.drop("__a", "__b")
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
