@@ -115,7 +115,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     shared = spark.sparkContext.broadcast(build_dictionary([record(i, None, bytes(r[0])) for i, r in enumerate(some)]))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     keep = rows.where(F.length("payload") >= least_revisit).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(keep.drop("n"), "digest", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("keep")), F.col("keep")).cast("string").alias("refers_to"))
+    # A table, not an aggregate, so that Spark can split the copies of a frequent page over tasks.
+    kept = Table(keep.drop("n"), "warc-keep", pages.count())
+    marked = rows.join(kept.df, "digest", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("keep")), F.col("keep")).cast("string").alias("refers_to"))
 
     def pack(batches):
         data = shared.value
@@ -136,7 +138,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
         if parts:
             yield row()
 
-    return Table(marked.mapInArrow(pack, "archive string, content binary"), "warc")
+    out = Table(marked.mapInArrow(pack, "archive string, content binary"), "warc")
+    kept.drop()
+    return out
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -156,7 +160,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def save_archives(archives: DataFrame, folder: str) -> int:
-    """Write each archive as a file of its name, through Hadoop's file system, one at a time."""
+    """Write each archive as a file of its name through Spark's Hadoop file system, one archive in the driver at a time; the number written."""
     spark, n = archives.sparkSession, 0
     for n, r in enumerate(archives.select("archive", "content").toLocalIterator(), 1):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r[0]}")
