@@ -4,9 +4,10 @@ Texts and items are lower-cased and cut into words at blanks and ASCII
 punctuation; features are 5-word shingles (the whole sequence where an item
 is shorter).  For every distinct item size, windows of that many words are
 fingerprinted (64-bit SimHash, a running sum of signed bits); ``HammingIndex``
-finds all item fingerprints within ``RADIUS`` bits by radius + 1 blocks, one of
-which must agree; each candidate is then verified by the exact weighted
-Jaccard similarity (multiplicities of shingles) of window and item.
+finds all item fingerprints within ``RADIUS`` bits by four blocks of 16 bits, one
+of which must agree within its share of the radius (4, 4, 4 or 3 bits); each
+candidate is then verified by the exact weighted Jaccard similarity
+(multiplicities of shingles) of window and item.
 
 A window without a single shingle of any item has similarity 0 and is not
 fingerprinted, which loses nothing.  At similarity 0.8 two fingerprints differ
@@ -75,26 +76,52 @@ def _prints(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class HammingIndex:
-    """All pairs of fingerprints within ``radius`` bits: of radius + 1 blocks one agrees."""
+    """All pairs of fingerprints within ``radius`` bits.
+
+    The radius is shared out to four blocks of 16 bits so that shares + 1 come to
+    radius + 1: of two fingerprints within it some block differs by its share at
+    most.  A block's values are probed by all masks of so many bits, or compared
+    with each other where an index has fewer values than there are masks.
+    """
+
+    BLOCKS, CHUNK = 4, 1 << 20
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            shift, mask = np.uint64(a), np.uint64((1 << int(b - a)) - 1)
-            keys = prints >> shift & mask
-            order = np.argsort(keys, kind="stable")
-            self.blocks.append((shift, mask, order, keys[order]))
+        every = np.arange(1 << 16, dtype=np.uint16)
+        for k in range(self.BLOCKS):
+            share = (radius + 1) // self.BLOCKS - 1 + (k < (radius + 1) % self.BLOCKS)
+            values = self._values(prints, k)
+            order = np.argsort(values, kind="stable")
+            distinct, begin = np.unique(values[order], return_index=True)
+            if share >= 0:
+                self.blocks.append((k, share, order, distinct, np.append(begin, len(order)), every[np.bitwise_count(every) <= share]))
+
+    @staticmethod
+    def _values(prints: np.ndarray, k: int) -> np.ndarray:
+        return (prints >> np.uint64(16 * k)).astype(np.uint16)
+
+    def candidates(self, prints: np.ndarray):
+        """(query, item) index arrays, block by block, for some queries at a time."""
+        step = max(1, self.CHUNK // max(1, len(self.prints), *(min(len(b[3]), len(b[5])) for b in self.blocks)))
+        for at in range(0, len(prints), step):
+            for k, share, order, distinct, begin, masks in self.blocks:
+                mine = self._values(prints[at : at + step], k)
+                if len(distinct) <= len(masks):
+                    q, v = np.nonzero(np.bitwise_count(mine[:, None] ^ distinct) <= share)
+                else:
+                    probes = mine[:, None] ^ masks
+                    v = np.minimum(np.searchsorted(distinct, probes), len(distinct) - 1)
+                    q, m = np.nonzero(distinct[v] == probes)
+                    v = v[q, m]
+                n = begin[v + 1] - begin[v]
+                item = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)]
+                yield np.repeat(q + at, n), item
 
     def query(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for shift, mask, order, keys in self.blocks:
-            k = prints >> shift & mask
-            lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            n = hi - lo
-            q = np.repeat(np.arange(len(prints)), n)
-            item = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        found = [np.zeros(0, np.int64)]
+        for q, item in self.candidates(prints):
             near = np.bitwise_count(prints[q] ^ self.prints[item]) <= self.radius
             found.append(q[near] * len(self.prints) + item[near])
         return np.divmod(np.unique(np.concatenate(found)), len(self.prints))
@@ -209,7 +236,8 @@ def item_blocks(items: DataFrame, id_col: str, text: str):
         yield ids, texts
 
 
-#: Indexes that a Python worker has built, by broadcast.
+#: Indexes that a Python worker has built, by broadcast; at most so many.
+KEPT_INDEXES = 2
 _indexes: dict[str, ItemIndex] = {}
 
 
@@ -248,7 +276,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def leaky(col: pa.Array, shared=shared, key=uuid.uuid4().hex) -> pa.Array:
-            index = _indexes.get(key) or _indexes.setdefault(key, ItemIndex(*shared.value))
+            index = _indexes.get(key)
+            if index is None:
+                if len(_indexes) >= KEPT_INDEXES:
+                    _indexes.clear()
+                index = _indexes[key] = ItemIndex(*shared.value)
             out = np.zeros(len(col), bool)
             for i, words, first in _words(col):
                 out[[i + m[0] for m in index.matches(words, first, similarity)]] = True
