@@ -6,6 +6,11 @@ at most ``MAX_LANGS`` x ``buckets`` numbers, becomes a log-probability matrix
 that is broadcast.  Scoring gathers matrix rows for a batch of texts in numpy
 and adds them up per text.
 
+The score is the posterior of the language against all others and against a
+background in which every bucket is equally likely; ``known`` is the posterior
+of all languages together, low for texts in none of them.  N-grams of one text overlap and repeat each other, so a
+text counts as ``EVIDENCE`` of them at most: its mean log-likelihood times that.
+
 Edge cases: a null or empty text, or one without a letter, is ``und`` with
 score 0; without any labelled row all texts are ``und``; repeated rows count
 each time; ties go to the language first by code point; columns named like
@@ -24,10 +29,12 @@ from pyspark.sql import functions as F
 from loomstack.llm.common import batch_udf, replace_columns, slices, text_buffer
 
 UND = "und"
-#: Bounds of the broadcast matrix.
-MAX_LANGS = 512
+#: Bounds of the broadcast matrix: its numbers, and the languages that it must tell apart; with many, buckets are fewer.
+MATRIX, MAX_LANGS = 1 << 24, 1 << 14
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: N-grams that a text counts as at most.
+EVIDENCE = 64
 
 _FOLD_TO = 0x250
 _FOLD = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else (ord(c) if c.isalpha() else 32) for c in map(chr, range(_FOLD_TO))], np.uint32)
@@ -87,11 +94,12 @@ def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(tally[full])], ["lang", "bucket", "n"])
 
     rows = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     priors = {r[0]: r[1] for r in rows.groupBy("l").count().take(MAX_LANGS + 1)}
     if len(priors) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = tuple(sorted(priors))
+    buckets = min(buckets, 1 << (MATRIX // max(1, len(langs))).bit_length() - 1)
+    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(langs), buckets))
     got = sums.toArrow()
     if len(got):
@@ -103,43 +111,52 @@ def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang",
     return LanguageModel(langs, np.array([np.log(priors[k] / total) for k in langs]), logp, orders)
 
 
-def score_texts(col: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language and its posterior for each text of an array."""
+def score_texts(col: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language, its score, and that of all languages together, for each text of an array."""
     buf, off = text_buffer(col)
-    best, score = np.zeros(len(col), np.int64), np.zeros(len(col))
+    best, score, every = np.zeros(len(col), np.int64), np.zeros(len(col)), np.zeros(len(col))
     for i, j in slices(off):
-        total = np.tile(model.prior, (j - i, 1))
+        total, size = np.zeros((j - i, len(model.langs))), np.zeros(j - i, np.int64)
         part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-        for grams, at in _ngrams(part, o, model.buckets, model.orders) if len(part) else ():
+        for n, (grams, at) in zip(model.orders, _ngrams(part, o, model.buckets, model.orders) if len(part) else (), strict=False):
+            size += np.maximum(np.diff(at) - n + 1, 0)
             at = np.minimum(at, len(grams))
             full = np.flatnonzero(np.diff(at) > 0)
             for k in range(len(model.langs)):
                 total[full, k] += np.add.reduceat(np.ascontiguousarray(model.logp[:, k])[grams], at[full])
-        top = total.max(1)
-        best[i:j] = total.argmax(1)
-        score[i:j] = 1 / np.exp(total - top[:, None]).sum(1)
-    return best, score
-
-
-def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """All columns of ``df`` and the two results; only the text is an input."""
+        best[i:j] = (total + model.prior).argmax(1)
+        # The background comes last; its prior is that of an even choice.
+        known = len(model.langs)
+        scale = np.minimum(1.0, EVIDENCE / np.maximum(size, 1))[:, None]
+        prior = np.append(model.prior + np.log(known / (known + 1)), -np.log(known + 1))
+        rated = np.column_stack([total, -size * np.log(model.buckets)]) * scale + prior
+        rated -= rated.max(1, keepdims=True)
+        rated = np.exp(rated)
+        score[i:j] = rated[np.arange(j - i), best[i:j]] / rated.sum(1)
+        every[i:j] = rated[:, :known].sum(1) / rated.sum(1)
+    return best, score, every
+
+
+def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "lang_score", known: str = "lang_known") -> DataFrame:
+    """All columns of ``df`` and the three results; only the text is an input."""
     spark = df.sparkSession
-    kept = replace_columns(df, [pred, score])
+    kept = replace_columns(df, [pred, score, known])
     if not model.langs:
-        return kept.withColumn(pred, F.lit(UND)).withColumn(score, F.lit(0.0))
+        return kept.withColumns({pred: F.lit(UND), score: F.lit(0.0), known: F.lit(0.0)})
     shared = spark.sparkContext.broadcast(model)
 
     def hits(col: pa.Array) -> pa.Array:
-        k, s = score_texts(col, shared.value)
-        return pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(s)], ["k", "s"])
+        k, s, e = score_texts(col, shared.value)
+        return pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(s), pa.array(e)], ["k", "s", "e"])
 
     hit = "__language_hit"
     names = F.array(*[F.lit(x) for x in model.langs])
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return (
-        kept.withColumn(hit, batch_udf(hits, "k int, s double")(F.col(text)))
+        kept.withColumn(hit, batch_udf(hits, "k int, s double, e double")(F.col(text)))
         .withColumn(pred, F.when(has_letter, names[F.col(f"{hit}.k")]).otherwise(UND))
         .withColumn(score, F.when(has_letter, F.col(f"{hit}.s")).otherwise(0.0))
+        .withColumn(known, F.when(has_letter, F.col(f"{hit}.e")).otherwise(0.0))
         .drop(hit)
     )
 
