@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.functions.storage import Table
-from loomstack.operators import dead_code, duplication, graph, impact, metrics, parse, relations, reports, rules, search, security
+from loomstack.operators import assist, dead_code, duplication, graph, impact, metrics, parse, relations, reports, rules, search, security
 from loomstack.sources import files as src
 
 
@@ -187,6 +187,23 @@ class Engine:
             return symbols | {"issues": security.worst(security.bugs_near(self.files, found), 20)} | related | predicted
         return symbols | {"files": reports.relevant_files(self.files, names)} | (related | predicted if first else {})
 
+    def document(self, name: str = "project") -> str:
+        """The project's documentation as markdown."""
+        packages = self.files.where("file_path = 'package.json'").select("content").limit(1)
+        stack = src.project_stack(packages).select("description").collect()
+        return assist.documentation(self.files, self.edges, name, stack[0][0] if stack else "")
+
+    def advice(self) -> list[str]:
+        got = self.get_narrator_report()
+        return assist.architecture_advice(got["problems"], got["patterns"], got["layers"])
+
+    def enhance(self, question: str) -> dict:
+        """The answer to a question with follow-ups, diagrams, test stubs and performance hints."""
+        got = self.context(question)
+        intent = self.spark.range(1).select(reports.intent(F.lit(question))).first()[0]
+        found = got.get("symbols", self.symbols.limit(0))
+        return assist.enhance(self.ask(question), intent, question, self.files, self.edges, found, got.get("dependencies"), got["issues"].count() if "issues" in got else 0)
+
     def ask(self, question: str) -> str:
         """The context of a question as markdown, or what the language model makes of it."""
         text = f"{question}\n" + reports.report(self.context(question), "markdown", 10)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstack.operators.reports import folder_mix, language_mix
+from loomstack.operators.graph import reach
+from loomstack.operators.relations import routes, stores
+from loomstack.operators.reports import api_endpoints, architecture_pattern, components, folder_mix, language_mix, layer_coverage, main_dependencies
+from loomstack.operators.security import performance_hints
 
 #: intent: (question, intent, relevance) (fixed values of intent and relevance).
 FOLLOW_UPS = {
@@ -38,6 +41,13 @@ def architecture_diagram(files: DataFrame, most: int = 8) -> str:
     return "\n".join(f"{r.folder or '.'}/  {r.files} files, {r.lines} lines" for r in rows)
 
 
+def flow_diagram(edges: DataFrame, start: str, depth: int = 3, most: int = 20) -> str:
+    """ASCII tree of what ``start`` reaches, by distance, at most ``most`` nodes."""
+    seed = edges.sparkSession.createDataFrame([(start,)], f"id {dict(edges.dtypes)['src']}")
+    rows = reach(edges, seed, depth).orderBy("depth", "id").limit(most).collect()
+    return "\n".join(f"{'  ' * r.depth}{'+--> ' if r.depth else ''}{r.id}" for r in rows)
+
+
 STUBS = {
     "jest": "describe('{name}', () => {{\n  it('works', () => {{\n    expect({name}()).toBeDefined();\n  }});\n}});\n",
     "pytest": "def test_{name}():\n    assert {name}() is not None\n",
@@ -62,3 +72,64 @@ def narrative(files: DataFrame, name: str = "project") -> str:
 
 
 test_stubs.__test__ = False
+
+#: Advice on an architecture (fixed values).
+ADVICE = {
+    "critical": "Address {} critical issues first: {}",
+    "unclear": "Define clear architectural boundaries - current structure is unclear",
+    "repository": "Consider implementing Repository Pattern to separate data access logic",
+    "layers": "Structure code into clear layers (Presentation, Business, Data) for better maintainability",
+    "god": "Apply Single Responsibility Principle - each module should do one thing well",
+}
+
+
+def architecture_advice(problems: DataFrame, patterns: DataFrame, layers: DataFrame) -> list[str]:
+    """What to do about a project, from its problems, layouts and layers."""
+    found = [r["title"] for r in problems.where("severity = 'critical'").select("title").limit(100).collect()]
+    known = {r["pattern"]: r["confidence"] for r in patterns.collect()}
+    holds = {"critical": bool(found), "unclear": max(known.values(), default=0) < 50, "repository": "Repository Pattern" not in known, "layers": layers.count() < 3, "god": "God Object" in found}
+    return [ADVICE[k].format(len(found), ", ".join(found)) if k == "critical" else ADVICE[k] for k, on in holds.items() if on]
+
+
+def markdown_table(df: DataFrame, most: int = 20) -> list[str]:
+    """The first rows as lines of a markdown table."""
+    rows = df.limit(most).collect()
+    cell = lambda v: ", ".join(map(str, v)) if isinstance(v, list) else str("" if v is None else v).replace("|", "\\|")
+    return ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)] if rows else ["None."]
+
+
+def documentation(files: DataFrame, edges: DataFrame, name: str = "project", stack: str = "", most: int = 20) -> str:
+    """A project's documentation as markdown: overview, languages, structure, architecture, components, endpoints, stores, routes, dependencies."""
+    layout = architecture_pattern(files).limit(1).collect()
+    sections = {
+        "Languages": language_mix(files).orderBy(F.desc("files"), "language"),
+        "Structure": folder_mix(files).orderBy(F.desc("files"), "folder"),
+        "Layers": layer_coverage(files).orderBy("layer"),
+        "Components": components(files),
+        "API": api_endpoints(files),
+        "State": stores(files).orderBy("file_path"),
+        "Routes": routes(files).orderBy("file_path", "route"),
+        "Main dependencies": main_dependencies(edges),
+    }
+    out = [f"# {name}", "", narrative(files, name), ""]
+    if stack:
+        out += [f"**Stack:** {stack}", ""]
+    out += [f"**Architecture:** {layout[0]['pattern']} ({layout[0]['confidence']}%)" if layout else "**Architecture:** Unknown", ""]
+    for title, df in sections.items():
+        out += [f"## {title}", "", *markdown_table(df, most), ""]
+    return "\n".join(out)
+
+
+def enhance(answer: str, intent: str, question: str, files: DataFrame, edges: DataFrame, symbols: DataFrame, dependencies: DataFrame | None = None, issues: int = 0) -> dict:
+    """An answer with follow-ups, diagrams, test stubs and performance hints, as the intent asks for; ``symbols`` are those found."""
+    first = symbols.orderBy("file_path", "name").limit(1).collect()
+    name, path = (first[0]["name"], first[0]["file_path"]) if first else (None, None)
+    looked = intent in ("find_symbol", "explain_flow")
+    diagrams = {"dependencies": dependency_diagram(dependencies)} if dependencies is not None and dependencies.limit(1).count() else {}
+    if looked and path:
+        diagrams["flow"] = flow_diagram(edges, path)
+    slow = intent in ("find_bugs", "refactor") or any(w in question.lower() for w in ("performance", "\u043e\u043f\u0442\u0438\u043c\u0438\u0437", "\u0442\u043e\u0440\u043c\u043e\u0437"))
+    return {
+        "answer": answer, "follow_ups": follow_ups(intent, name, path, issues), "diagrams": diagrams, "tests": test_stubs(symbols) if looked else [],
+        "performance": [r.asDict() for r in performance_hints(files).collect()] if slow else [],
+    }

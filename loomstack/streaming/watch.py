@@ -26,9 +26,20 @@ def debounce(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 s
 
 
 def reindex_batches(changes: DataFrame, gap: str = "1 second") -> DataFrame:
-    """(first_ts, ts, changes): debounced changes of all paths at most ``gap`` apart."""
-    out = changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("changes"))
-    return out.select("first_ts", "ts", "changes")
+    """(first_ts, ts, changes): debounced changes of all paths at most ``gap`` apart.
+
+    In batch the changes of each ``gap`` of time are put together first, as
+    they are in one batch anyway; only these rows, at most one for each such
+    time, are then looked at in order.
+    """
+    if changes.isStreaming:
+        out = changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("changes"))
+        return out.select("first_ts", "ts", "changes")
+    slots = changes.groupBy(F.window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("changes"))
+    before = F.lag("ts").over(W.orderBy("first_ts"))
+    fresh = F.when(before.isNull() | (F.col("first_ts") > before + F.expr(f"INTERVAL {gap}")), 1).otherwise(0)
+    batch = F.sum("fresh").over(W.orderBy("first_ts").rowsBetween(W.unboundedPreceding, 0))
+    return slots.withColumn("fresh", fresh).withColumn("batch", batch).groupBy("batch").agg(F.min("first_ts").alias("first_ts"), F.max("ts").alias("ts"), F.sum("changes").alias("changes")).drop("batch")
 
 
 def watch_folder(spark: SparkSession, folder: str, schema: str = "type string, path string, ts timestamp") -> DataFrame:

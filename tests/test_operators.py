@@ -250,6 +250,9 @@ def test_engine(spark, tmp_path):
     assert e.find_symbol("alpha").first().file_path == "src/a.ts" and {r.name for r in e.find_symbols_in_file("src/a.ts").collect()} == {"alpha"}
     assert set(e.context("where is class alpha")) >= {"symbols", "usages", "impact"} and set(e.context("find bugs")) == {"issues", "files"}
     assert "alpha" in e.ask("where is function alpha") and "# Impact Analysis: d" in e.impact_report("d", ["src/b.ts"])
+    got = e.enhance("where is function alpha")
+    assert got["tests"] and "src/a.ts" in got["diagrams"]["flow"] and got["follow_ups"][0][1] == "find_usage" and e.enhance("find bugs")["performance"] == []
+    assert "## Routes" in e.document("demo") and any("Repository Pattern" in a for a in e.advice())
     assert e.index.stats().first().documents == 2 and "avg_function_complexity" in e.get_metrics().columns
     e.reindex(spark.createDataFrame([("src/b.ts", None)], "file_path string, content string"))
     assert e.files.count() == 1
