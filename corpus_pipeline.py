@@ -2,30 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
 the last adds what the mix takes.  A stage decides on everything that its
-predecessor kept.  Rows with a null doc_id are told apart by their text.
+predecessor kept.  Rows are told apart by id and text together, so one id may
+stand for several texts and null ids for many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.llm import decontaminate, language_id, line_dedup, mixing, near_dup
 from loomstack.llm.common import Table
 
-#: A document below this posterior is in no known language.
-LEAST_SCORE = 0.5
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
+#: A document below this is likelier by chance than in any language known.
+LEAST_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language the model knows; null texts and texts without a letter go."""
+    """Keep documents in a language the model knows, or in several; null texts and texts without a letter go."""
     model = language_id.train_language_model(docs)
     found = language_id.predict_language(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("lang_known") >= LEAST_KNOWN)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays, once."""
-    keyed = docs.withColumn("__key", _key())
-    found = near_dup.near_duplicates(keyed, id_col="__key")
-    heads = found.where("id = component_id").select(F.col("id").alias("__key")).distinct()
-    return keyed.join(heads.hint("merge"), "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    found = near_dup.near_duplicates(docs)
+    heads = found.where("head").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", near_dup.row_key()).join(heads.hint("merge"), "__row").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
