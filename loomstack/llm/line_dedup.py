@@ -40,31 +40,33 @@ def _place() -> Column:
     return F.struct("id", "uid", "line")
 
 
-def _ranked(rows: DataFrame, key: list[str], tag: str) -> Table:
+def _ranked(rows: DataFrame, key: list[str], tag: str, most: int) -> Table:
     """Rows whose key repeats, with its ``rank``: numbers of the partitions of a range sort, in order, and of the keys in each."""
     repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A table, not an aggregate, so that Spark can split the places of a frequent key over tasks.
-    order = Table(repeated.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()), f"{tag}-order", few=True)
-    out = Table(rows.join(order.df.hint("merge"), key).drop(*key), tag, few=True)
+    order = Table(repeated.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()), f"{tag}-order", most)
+    out = Table(rows.join(order.df.hint("merge"), key).drop(*key), tag, most)
     order.drop()
     return out
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(uid, gone): for documents (uid, id, text) the numbers of the lines to delete, from 0."""
+    # About one line for 32 bytes of text.
+    most = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 32
     parts = docs.select("uid", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "s")).where(F.col("s").rlike(WORD_RE))
     words = F.regexp_count("s", F.lit(WORD_RE)).cast("int")
     plain = parts.select("uid", "id", "no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), words.alias("words"))
     by_doc = W.partitionBy("uid").orderBy("no")
     lines = plain.withColumn("line", F.row_number().over(by_doc)).withColumn("upto", F.sum("words").over(by_doc))
-    levels = [_ranked(lines, ["h1", "h2"], "lines-0")]
+    levels = [_ranked(lines, ["h1", "h2"], "lines-0", most)]
     base = levels[0].df
     step = 1
     while step * 2 <= min_words:
         low = levels[-1].df
         half = low.select("uid", (F.col("line") - step).alias("line"), F.col("rank").alias("r2"))
         pairs = low.select("uid", "id", "line", F.col("rank").alias("r1")).join(half.hint("merge"), ["uid", "line"])
-        levels.append(_ranked(pairs, ["r1", "r2"], f"lines-{2 * step}"))
+        levels.append(_ranked(pairs, ["r1", "r2"], f"lines-{2 * step}", most))
         step *= 2
     # The shortest runs of enough words that start, or end, at a line; only lines that repeat can be in one.
     island = F.col("line") - F.row_number().over(W.partitionBy("uid").orderBy("line"))
@@ -77,7 +79,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     start = F.array_max(F.transform(F.filter("b", lambda x: F.col("upto") - x["before"] >= min_words), lambda x: x["line"]))
     spans = reach.select("uid", "id", "line", last.alias("last"), start.alias("start"))
     runs = spans.where("last is not null").select("uid", "id", "line", (F.col("last") - F.col("line") + 1).alias("n")).union(spans.where("start is not null").select("uid", "id", F.col("start").alias("line"), (F.col("line") - F.col("start") + 1).alias("n"))).distinct()
-    runs = Table(runs, "runs", few=True)
+    runs = Table(runs, "runs", most)
     hits, firsts = None, []
     for k, level in enumerate(levels):
         size = 1 << k
@@ -87,12 +89,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = mine.join(name.hint("merge"), ["uid", "line"]).withColumn("tail", F.col("line") + F.col("n") - size).join(tail.hint("merge"), ["uid", "tail"])
         key = ["n", "r1", "r2"]
         first = both.groupBy(*key).agg(F.min(_place()).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select(*key, F.col("f.uid").alias("ou"), F.col("f.line").alias("ol"))
-        firsts.append(Table(first, "runs-first", few=True))
+        firsts.append(Table(first, "runs-first", most))
         again = both.join(firsts[-1].df.hint("merge"), key).where((F.col("uid") != F.col("ou")) | (F.col("line") != F.col("ol"))).select("uid", "line", "n")
         hits = again if hits is None else hits.union(again)
     gone = hits.select("uid", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line")).distinct()
     numbers = gone.join(base.select("uid", "line", "no").hint("merge"), ["uid", "line"]).groupBy("uid").agg(F.sort_array(F.collect_list("no")).alias("gone"))
-    out = Table(numbers, "gone", few=True)
+    out = Table(numbers, "gone", most)
     for t in (*levels, runs, *firsts):
         t.drop()
     return out.df

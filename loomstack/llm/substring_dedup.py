@@ -238,12 +238,12 @@ def _each(chunks: DataFrame, f, schema: str, answers: DataFrame | None = None) -
     return chunks.select(*columns).mapInArrow(over, schema)
 
 
-def _wide_windows(pieces: DataFrame) -> tuple[DataFrame, Table]:
+def _wide_windows(pieces: DataFrame, rows: int) -> tuple[DataFrame, Table]:
     """(chunk, at, mask) for phrases of triggers that have too many for a task, by aggregates that Spark can split."""
     windows = pieces.select("id", "chunk", "at", "bytes", F.explode(F.expr("sequence(0, cast(at & 63 as int) - 1)")).alias("j"))
     windows = windows.select("id", "chunk", "at", "j", (F.shiftright("at", 6) + F.col("j")).alias("start"), F.expr(f"substring(bytes, j + 1, {LENGTH})").alias("window"))
     place = F.min(F.struct("id", "chunk", "start")).alias("f")
-    firsts = Table(windows.groupBy("window").agg(place, F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "f.chunk", "f.start").toDF("window", "fc", "fs"), "wide", few=True)
+    firsts = Table(windows.groupBy("window").agg(place, F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "f.chunk", "f.start").toDF("window", "fc", "fs"), "wide", rows)
     later = windows.join(firsts.df.hint("merge"), "window").where("chunk <> fc OR start <> fs")
     return later.groupBy("chunk", "at").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")), firsts
 
@@ -255,11 +255,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = int(min(CHUNK_MOST, max(CHUNK, total // CHUNKS)))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A trigger covers 26 windows on average.
+    expected = total // 26
     name, used = f"chunks_{uuid.uuid4().hex}", []
     path = f"{shared_dir(spark)}/{name}"
 
-    def table(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
-        used.append(Table(df, tag, few))
+    def table(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+        used.append(Table(df, tag, rows))
         return used[-1].df
 
     def removed(chunk, ids, off, buf, answers):
@@ -281,15 +283,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         chunks = spark.table(name)
         parsed = _each(chunks, _entries, "trigger long, phrase long, id long, chunk long, at long")
         again = F.row_number().over(W.partitionBy("trigger", "phrase").orderBy("id", "chunk", "at")) > 1
-        phrases = table(parsed.select("trigger", "chunk", "at", again.alias("again")), "phrases")
+        phrases = table(parsed.select("trigger", "chunk", "at", again.alias("again")), "phrases", expected)
         heads = phrases.where("not again").select("trigger", "chunk", "at")
-        shared = table(heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", (F.col("n") > WIDE).alias("wide")), "triggers", few=True)
+        shared = table(heads.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", (F.col("n") > WIDE).alias("wide")), "triggers", expected)
         asked = heads.join(shared.hint("merge"), "trigger")
         pieces = table(_each(chunks, _pieces, "trigger long, id long, chunk long, at long, wide boolean, bytes binary", asked), "pieces")
         parts = max(shuffled, -(-pieces.count() // PART))
         part = F.pmod(F.xxhash64("trigger"), F.lit(parts)).alias("part")
         later = pieces.where("not wide").groupBy(part).applyInArrow(_later_suffixes, "chunk long, at long, mask long")
-        wide, firsts = _wide_windows(pieces.where("wide"))
+        wide, firsts = _wide_windows(pieces.where("wide"), expected)
         used.append(firsts)
         answers = phrases.where("again").select("chunk", "at", F.lit(-1).cast("long").alias("mask")).unionByName(later).unionByName(wide)
         schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
