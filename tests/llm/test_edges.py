@@ -46,6 +46,29 @@ def test_mixing_targets_and_reruns(spark):
     assert a == b
     for r in runs[0].groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect():
         assert abs(r.n - r.t) <= 20
+    # Inclusion grows with the root of the size, in the source that is not taken three times whole.
+    share = runs[0].where("target < 2 * source_size").groupBy(F.col("size") > 20).agg(F.avg("copies")).collect()
+    small, large = (r[1] for r in sorted(share))
+    assert large > 1.3 * small
+    flat = mixing.mix_sources(docs, mixing.cyclic_weights(docs), measure=mixing.even).where("target < 2 * source_size").groupBy(F.col("size") > 20).agg(F.avg("copies")).collect()
+    assert abs(flat[0][1] - flat[1][1]) < 0.1
+
+
+@pytest.mark.parametrize("keep_text", [False, True])
+def test_mixing_takes_a_part_of_equal_rows(spark, keep_text):
+    """1000 rows of one id and text, and 1000 rows without an id."""
+    docs = frame(spark, [(i and 7, "w w w", None, s, 0) for s, i in (("a", 1), ("b", None)) for _ in range(1000)] + [(k, "w " * 50, None, "c", 0) for k in range(30)]).repartition(5)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.7), ("c", 4.0)], "source string, weight double")
+    for r in mixing.mix_sources(docs, weights, keep_text=keep_text).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.max(F.col("taken") / F.col("size")).alias("most")).collect():
+        assert abs(r.n - r.t) <= (25 if r.source == "c" else 1.5) and r.most <= 3
+
+
+def test_cyclic_weights(spark):
+    rng = random.Random(6)
+    names = [None, "", "é", "Z", "a", *(f"s{rng.random()}" for _ in range(200))]
+    docs = frame(spark, [(i, "", None, names[i % len(names)], 0) for i in range(500)]).repartition(6)
+    want = {s: i % 3 + 1 for i, s in enumerate([*sorted(n for n in names if n is not None), None])}
+    assert {r.source: r.weight for r in mixing.cyclic_weights(docs).collect()} == want
 
 
 def brute_repeats(texts, n=100):
@@ -91,6 +114,42 @@ def test_substrings_long_text_and_edges(spark, odd, none, monkeypatch):
     assert substring_dedup.remove_repeats(odd).agg(F.sum("n_removed")).first()[0] > 0
 
 
+def test_substring_rows_follow_entries(spark, monkeypatch):
+    """Rows of every step are the same for any number of partitions, and wide triggers give the same result."""
+    rng = random.Random(4)
+    shared = " ".join(f"word{rng.randint(0, 99)}" for _ in range(60))
+    docs = frame(spark, [(i, f"{rng.random()} {shared} {rng.random()} " * 2, None, None, 0) for i in range(60)] + [(None, shared, None, None, 0)] * 2).repartition(6).cache()
+    counts = []
+
+    class Counted(substring_dedup.Table):
+        def __init__(self, df, tag, rows=None):
+            super().__init__(df, tag, rows)
+            counts[-1][tag] = self.df.count()
+
+    monkeypatch.setattr(substring_dedup, "Table", Counted)
+    results, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, wide in ((4, 1 << 15), (40, 1 << 15), (4, 1)):
+        counts.append({})
+        monkeypatch.setattr(substring_dedup, "WIDE", wide)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(str, substring_dedup.remove_repeats(docs).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert counts[0] == counts[1] and results[0] == results[1] == results[2]
+    assert counts[0]["wide"] == 0 < counts[2]["wide"] and counts[0]["pieces"] > 60
+
+
+def test_suffix_ranks():
+    import numpy as np
+
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"ab") for _ in range(700)) + bytes(150) + b"b" * 120
+    for depth in (8, 13, 64, 100):
+        rank = substring_dedup.suffix_ranks(np.frombuffer(text, np.uint8), depth)
+        cut = [text[i : i + depth] for i in range(len(text) - depth)]
+        order = sorted(range(len(cut)), key=cut.__getitem__)
+        assert all((rank[a] == rank[b]) == (cut[a] == cut[b]) and rank[a] <= rank[b] for a, b in zip(order, order[1:]))
+
+
 def test_quality(spark, odd, none):
     m = quality.with_measures(odd.withColumn("n_words", F.lit("clash")))
     rows = m.collect()
@@ -197,6 +256,50 @@ def test_language(spark, odd, none):
     assert language_id.predict_language(none, model).count() == 0
 
 
+def test_language_against_dictionaries(spark):
+    """Naive Bayes with n-grams in dictionaries, hashed as in the operator; scores with the background."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    words = {"aa": ["lorem", "ipsum", "Dolor", "é"], "bb": ["zwei", "drei", "vier", "ÜBER"], "cc": ["uno", "dos", "tres", "日本"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(1, 30))), k, None, 0) for i, k in enumerate(rng.choice(list(words)) for _ in range(150))]
+    model = language_id.train_language_model(frame(spark, rows), buckets=1 << 10)
+
+    def grams(text):
+        low = "".join(c.lower() if c.isalpha() else " " if ord(c) < 0x250 else c for c in text)
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = 0
+                for k, c in enumerate(low[i : i + n], 1):
+                    h = (h * 0x01000193 + (ord(c) + k * 131) * 0x9E3779B1) % (1 << 32)
+                yield (h * 0x85EBCA6B % (1 << 32)) >> 22
+
+    counts, docs = {k: Counter() for k in words}, Counter(r[2] for r in rows)
+    for r in rows:
+        counts[r[2]].update(grams(r[1]))
+    logp = lambda k, g: math.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 1024))
+    texts = [*(r[1] for r in rows[:40]), "lorem zwei uno", "xqxqxq", "日本", "a"]
+    best, score, known = language_id.score_texts(pa.array(texts), model)
+    for t, b, s in zip(texts, best, score):
+        g = list(grams(t))
+        total = {k: sum(logp(k, x) for x in g) for k in words}
+        want = max(words, key=lambda k: total[k] + math.log(docs[k] / len(rows)))
+        assert model.langs[b] == want
+        scale = min(1, language_id.EVIDENCE / len(g))
+        odds = {k: math.exp(total[k] * scale + math.log(docs[k] / len(rows) * 3 / 4)) for k in words}
+        assert math.isclose(s, odds[want] / (sum(odds.values()) + math.exp(-len(g) * math.log(1024) * scale) / 4), rel_tol=1e-6)
+    assert known[texts.index("xqxqxq")] < 0.5 < known[0] and known[texts.index("lorem zwei uno")] > 0.99
+
+
+def test_language_of_many_labels(spark):
+    docs = frame(spark, [(i, f"text number {i}", f"l{i % 600}", None, 0) for i in range(1200)])
+    model = language_id.train_language_model(docs)
+    assert len(model.langs) == 600 and model.logp.size <= (language_id.MATRIX + 600)
+
+
 def test_chat(spark):
     t = lambda *xs: [{"role": r, "text": x} for r, x in xs]
     pairs = spark.createDataFrame(
@@ -213,6 +316,19 @@ def test_chat(spark):
     assert {r.conv_id: len(r.turns) for r in chat.gather_turns(turns).collect()} == {1: 3, 2: 1}
 
 
+def test_chat_of_many_turns_and_edges(spark):
+    import time
+
+    many = [{"role": "assistant" if i % 2 else "user", "text": f"turn {i}"} for i in range(5000)]
+    pairs = spark.createDataFrame([(1, many, [*many[:-1], {"role": "assistant", "text": "x"}], "clash"), (2, [many[0]], many, "clash")], f"id int, chosen {chat.TURNS}, rejected {chat.TURNS}, prompt string")
+    begun = time.perf_counter()
+    out = {r.id: r for r in chat.format_preferences(pairs).collect()}
+    assert time.perf_counter() - begun < 30
+    assert out[1].n_prompt_turns == 4999 and out[1].rejected_completion == "<|assistant|>\nx<|end|>\n" and len(out[2].rejected_spans) == 2500
+    assert all(out[2].rejected_completion[s.start : s.end] == f"turn {2 * i + 1}<|end|>\n" for i, s in enumerate(out[2].rejected_spans))
+    assert out[2].prompt == "<|user|>\nturn 0<|end|>\n" and chat.format_preferences(pairs.limit(0)).count() == 0
+
+
 def test_leaks(spark, odd, none):
     items = spark.createDataFrame([(1, TEXT), (2, None), (3, "..."), (4, "w1 x1"), (5, TEXT)], "item_id long, text string")
     docs = odd.select("doc_id", "text").union(frame(spark, [(20, "intro words here " + TEXT.replace("roof", "house") + " and outro", None, None, 0), (21, TEXT[:40], None, None, 0), (22, TEXT.upper() + "!", None, None, 0)]).select("doc_id", "text"))
@@ -244,6 +360,26 @@ def test_hamming_index_finds_all(spark):
     assert got == {(i, j) for i in range(300) for j in range(200) if int(q[i] ^ a[j]).bit_count() <= decontaminate.RADIUS}
 
 
+def test_hamming_index_prunes_and_recalls():
+    """Share of items that a window is compared with, and of windows at 0.8 to 0.85 that the radius keeps."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    index = decontaminate.HammingIndex(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    tried = sum(len(q) for q, _ in index.candidates(rng.integers(0, 1 << 63, 50, dtype=np.uint64)))
+    assert tried < 0.14 * 50 * 20_000
+    prints = lambda w: decontaminate._prints(decontaminate._sums(decontaminate._grams(w, 5)), np.zeros(1, np.int64), len(w) - 4)[0]
+    near = kept = 0
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        b = a.copy()
+        b[rng.integers(0, 60, rng.integers(1, 3))] = rng.integers(0, 1 << 63)
+        if 0.8 <= decontaminate.weighted_jaccard(decontaminate._grams(a, 5), decontaminate._grams(b, 5)) < 0.87:
+            near += 1
+            kept += int(prints(a) ^ prints(b)).bit_count() <= decontaminate.RADIUS
+    assert near > 500 and kept / near > 0.995
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = lambda i: f"<html>{'common part ' * 20}{i}</html>"
     pages = spark.createDataFrame([(i, f"http://x/{i}", html(i % 7)) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "a b\n", "ü" * 70_000), (None, "n", html(3))], "page_id long, url string, html string")

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
+from loomstack.llm import near_dup
 from tests.conftest import FIXTURES
 from tests.llm.test_edges import SCHEMA, brute_components
 
@@ -25,6 +26,11 @@ def test_language_keeps_clean_documents(spark):
     assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in out.select("doc_id").collect()} == {9000, 9001, 9002}
 
 
+def test_language_rejects_texts_in_no_known_language(spark):
+    docs = corpus(spark).union(spark.createDataFrame([(9100, "Это предложение написано на русском языке", None, None, 1), (9101, "xqzvk wvqjx kzzqw vjxqk zwqvx jkqzx " * 5, "en", "a", 1)], SCHEMA))
+    assert not {9100, 9101} & {r.doc_id for r in cp.language(spark, docs, FIXTURES).collect()}
+
+
 def test_lines_take_effect(spark):
     a, b = "first line with quite a few words that nobody else has", "shared line with more than ten words that comes back again here"
     docs = spark.createDataFrame([(1, f"{a}\n{b}", "en", "s", 1), (2, f"{b}\nown words", "en", "s", 1), (3, b, "en", "s", 1)], SCHEMA)
@@ -41,8 +47,18 @@ def test_one_of_each_group_stays(spark):
     want = brute_components(texts, 80)
     kept_null = [r.text for r in cp.near_duplicates(spark, docs, FIXTURES).collect() if r.doc_id is None]
     heads = sorted(k for k, (_, c) in want.items() if k == c)
-    # The null row has a key below all ids, so it stands for the group of its copies.
-    assert got == [k for k in heads if k != 1] and sorted(kept_null) == sorted([texts[1], "alone in the world of words"])
+    assert got == heads and kept_null == ["alone in the world of words"]
+
+
+def test_an_id_with_several_texts(spark):
+    """One id for different texts, near copies under one id, and texts without an id."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, a), (2, b), (2, a[:-1] + ["x"]), (5, a), (2, b[:-1] + ["y"]), (None, a[:-1] + ["z"]), (None, [f"n{i}" for i in range(60)]), (None, [f"n{i}" for i in range(59)] + ["m"])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], SCHEMA)
+    kept = [(r.doc_id, r.text.split()[0]) for r in cp.near_duplicates(spark, docs, FIXTURES).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a0"), (2, "b0"), (None, "n0")], key=str)
+    found = sorted(((r.id, r.component_id) for r in near_dup.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(1, 1), (2, 2), (2, 1), (5, 1), (2, 2), (None, 1), (None, None), (None, None)], key=str)
 
 
 def test_benchmark_and_mix(spark):
