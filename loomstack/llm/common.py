@@ -7,10 +7,11 @@ number of bytes; only a single text longer than the slice makes a larger one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.functions.storage import Table, delete, shared_dir  # noqa: F401 - used through this module
@@ -38,6 +39,17 @@ def batch_udf(f, schema: str, inputs: int = 1):
     over.__annotations__ = {"batches": Iterator[kind], "return": Iterator[pa.Array]}
     return F.arrow_udf(over, schema).asNondeterministic()
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = 1 << 22):
+    """Plans that run inside give their Arrow functions batches of about ``most`` bytes; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 # --- texts in Arrow arrays ---------------------------------------------------
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

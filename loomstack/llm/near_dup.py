@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm.common import Table, ascii_lower, batch_udf, mix, prefix_hash, shingles, slices, span_hash, text_buffer, word_spans
+from loomstack.llm.common import Table, arrow_batches, ascii_lower, batch_udf, mix, prefix_hash, shingles, slices, span_hash, text_buffer, word_spans
 from loomstack.llm.graph import connected_components
 
 K, T, SHINGLE = 32, 16, 5
@@ -133,6 +133,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``row`` is the row's ``row_key``; ``head`` is true for one of them in each
     component (with the smallest id), and for every document without a word.
     """
+    # All that Python does is done in tables; a worker holds the texts or pairs of sets of one batch, with its copies of them.
+    with arrow_batches(docs.sparkSession):
+        return _linked_rows(docs, id_col, text, percent)
+
+
+def _linked_rows(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("row", row_key("id"))
     signed = Table(rows.select("id", "row", batch_udf(_signatures, "n long, lo long, hi long, sig binary")("text").alias("s")).select("id", "row", "s.*"), "signed")
     n = signed.df.count()

@@ -225,6 +225,22 @@ def test_near_duplicates_against_all_pairs(spark, percent):
     assert got == brute_components(texts, percent)
 
 
+def test_near_duplicates_take_small_batches(spark, monkeypatch):
+    """12 MB of texts in one partition never come to a Python worker at once, and the session's setting comes back."""
+    real = near_dup._signatures
+
+    def checked(col):
+        assert col.nbytes < 6 << 20
+        return real(col)
+
+    monkeypatch.setattr(near_dup, "_signatures", checked)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat(id % 1500, repeat(' abc', 1000)) AS text")
+    out = near_dup.near_duplicates(docs)
+    assert out.where("head").count() == 1500 and out.count() == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_near_duplicates_edges(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
     rows = near_dup.near_duplicates(odd).collect()
