@@ -4,15 +4,20 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
 the last adds what the mix takes.  A stage decides on everything that its
 predecessor kept.  Rows are told apart by id and text together, so one id may
 stand for several texts and null ids for many.
+
+A stage plans dozens of jobs on the driver; what its predecessors' planning and
+compiling left in the driver's C allocator is given back before each.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.llm import decontaminate, language_id, line_dedup, mixing, near_dup
-from loomstack.llm.common import Table
+from loomstack.llm.common import Table, trim_native
 
 #: A document below this is likelier by chance than in any language known.
 LEAST_KNOWN = 0.5
@@ -48,7 +53,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.cyclic_weights(docs), keep_text=True).where("copies > 0")
 
 
-STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]
+def trimmed(stage):
+    """``stage``, begun with a driver that holds no free native memory."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim_native(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(stage.__name__, trimmed(stage)) for stage in (language, lines, near_duplicates, benchmark, mix)]
 
 #: Language ID by a trained model cannot be written as SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

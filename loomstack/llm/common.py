@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,24 @@ def arrow_batches(spark: SparkSession, most: int = 1 << 22):
     finally:
         spark.conf.set(name, before)
 
+def trim_native(spark: SparkSession) -> bool:
+    """The driver's C allocator gives memory that nothing uses back to the system; False where the JVM has no command for that.
+
+    The JVM's compiler and collector take and free native memory all the time, and glibc keeps it in arenas of many threads.
+    """
+    jvm = spark._jvm
+    named = jvm.java.lang.Class.forName
+    kinds, args = (spark.sparkContext._gateway.new_array(c, 4) for c in (jvm.java.lang.Class, jvm.java.lang.Object))
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the interface's method: Py4J finds none for null arrays, and the server's own class is not open to it.
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
 # --- texts in Arrow arrays ---------------------------------------------------
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
