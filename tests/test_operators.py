@@ -386,6 +386,18 @@ def test_watched_files(spark):
     assert [r.watched for r in watch.watched_files(ev).orderBy("ts").collect()] == [0, 1, 2, 1, 0, 0, 1]
 
 
+def test_symbol_import_edges_are_dealt_out(spark):
+    syms = spark.createDataFrame([(None if i == 7 else str(i), "src/BIG.ts") for i in range(600)] + [("x", "src/b.ts"), ("x", "src/b.ts"), ("y", None)], "id string, file_path string").coalesce(1)
+    imports = spark.createDataFrame([("src/BIG.ts", "BIG"), ("src/b.ts", "BIG"), ("src/b.ts", "b.ts"), ("src/b.ts", "src/"), ("src/BIG.ts", None), ("src/BIG.ts", "")], "file_path string, source string")
+    out = graph.symbol_import_edges(imports, syms)
+    big, b = [None if i == 7 else str(i) for i in range(600)], ["x", "x"]
+    want = [(s, t) for s, ts in ((big, big), (b, big + b)) for s in s for t in ts]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.src, r.dst) for r in out.collect()), key=key) == sorted(want, key=key)
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == len(want) and max(parts) <= 0.6 * len(want)
+
+
 def test_stored_graph_and_cli(spark, tmp_path, capsys):
     from loomstack.__main__ import main
 
