@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstack.functions.storage import Table
+
 
 @dataclass
 class Rule:
@@ -61,42 +65,90 @@ def _layer(path: str, layers: list) -> Column:
     return out
 
 
-def _search(pdf):
-    """Edges to a node on the path of a depth-first search, nodes and neighbours in order of id, with the length of the cycle."""
-    codes, ids = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)
-    src, dst = np.split(codes, 2)
-    order = np.lexsort((dst, src))
-    dst, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist()
-    depth, seen, found = {}, [False] * len(ids), []
-    for root in range(len(ids)):
-        stack = [] if seen[root] else [[root, first[root]]]
-        while stack:
-            node, at = stack[-1]
-            if not seen[node]:
-                seen[node], depth[node] = True, len(stack)
-            if at == first[node + 1]:
-                del depth[node]
-                stack.pop()
+def _search(nodes: int, links: int):
+    """Edges to a node on the path of a depth-first search, nodes and neighbours in order of number, with the length of the cycle.
+
+    Rows are (node, its neighbours in order) in any order.  Besides one batch it
+    holds four bytes for each edge and 16 for each node (24 over 2^31 edges).
+    """
+    place = "i" if links < 1 << 31 else "q"
+
+    def zeros(kind, n):
+        return array(kind, bytes(array(kind).itemsize * n))
+
+    def over(batches):
+        dst, first, last = zeros("i", links), zeros(place, nodes), zeros(place, nodes)
+        to_dst, to_first, to_last, filled = np.frombuffer(dst, dst.typecode), np.frombuffer(first, place), np.frombuffer(last, place), 0
+        for batch in batches:
+            node, lists = batch.column(0).to_numpy(), batch.column(1)
+            values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            to_dst[filled : filled + len(values)] = values
+            to_first[node], to_last[node] = at[:-1] - at[0] + filled, at[1:] - at[0] + filled
+            filled += len(values)
+        depth, path, found = zeros("i", nodes), array("i"), array("i")  # depth: 0 unseen, -1 left
+
+        def rows():
+            start, end, value = np.array(found, "i").reshape(-1, 3).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (start, end, value)], ["start", "end", "value"])
+
+        for root in range(nodes):
+            if depth[root]:
                 continue
-            stack[-1][1] += 1
-            to = dst[at]
-            if not seen[to]:
-                stack.append([to, first[to]])
-            elif to in depth:
-                found.append((to, node, len(stack) - depth[to] + 1))
-    to, node, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-    return pd.DataFrame({"start": ids[to], "end": ids[node], "value": n})
+            node, i, stop, level = root, first[root], last[root], 1
+            depth[root] = 1
+            while True:
+                if i == stop:
+                    depth[node] = -1
+                    if level == 1:
+                        break
+                    level -= 1
+                    node = path.pop()
+                    i, stop = first[node], last[node]
+                    continue
+                to = dst[i]
+                i += 1
+                seen = depth[to]
+                if not seen:
+                    first[node] = i
+                    path.append(node)
+                    level += 1
+                    node, i, stop = to, first[to], last[to]
+                    depth[to] = level
+                elif seen > 0:
+                    found.extend((to, node, level - seen + 1))
+                    if len(found) >= 3 << 16:
+                        yield rows()
+                        found = array("i")
+        if found:
+            yield rows()
+
+    return over
 
 
 def back_edges(edges: DataFrame) -> DataFrame:
     """(start, end, value) of each cycle of a depth-first search: its first and last node and its length, whatever that is.
 
     Such a cycle is told by the edge that closes it, so parallel edges count
-    once.  The search is sequential and sees all distinct edges in one task.
+    once.  The search is sequential and sees all distinct edges in one task;
+    nodes are numbered in their order, neighbours gathered and sorted and the
+    names put back in all tasks, so that the one task only holds numbers.
     """
     kind = dict(edges.dtypes)["src"]
-    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    return links.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_search, f"start {kind}, end {kind}, value long")
+    links = Table(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
+    ends = links.df.select(F.col("src").alias("id")).union(links.df.select("dst")).distinct()
+    ranged = ends.repartitionByRange("id").sortWithinPartitions("id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k"))
+    ranged = Table(ranged, "nodes").df
+    sizes = dict(ranged.groupBy("part").count().collect())
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1))]
+    number = ranged.select("id", (F.element_at(F.lit(before), F.col("part") + 1) + F.col("k")).cast("int").alias("no"))
+    named = lambda col, no: number.select(F.col("id").alias(col), F.col("no").alias(no))
+    near = links.df.join(named("src", "s"), "src").join(named("dst", "d"), "dst").groupBy("s").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    near = Table(near, "neighbours")
+    found = Table(near.df.coalesce(1).mapInArrow(_search(before[-1], links.df.count()), "start int, end int, value int"), "closing").df
+    links.drop()
+    near.drop()
+    out = found.withColumnsRenamed({"start": "s", "end": "e"}).join(named("start", "s"), "s").join(named("end", "e"), "e")
+    return out.select(F.col("start").cast(kind), F.col("end").cast(kind), F.col("value").cast("long"))
 
 
 def _no_circular(p: Project, c: dict) -> DataFrame:

@@ -3,7 +3,9 @@
 import datetime
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomstack.api import Engine
@@ -194,6 +196,51 @@ def test_circular_of_any_length_and_type(spark):
     assert found(links) == brute(links) != []
 
 
+def test_search_for_cycles_holds_numbers_only():
+    """Rows of neighbours in any order and several batches; besides them four bytes an edge and 16 a node, and a block of what is found."""
+    rng = random.Random(5)
+    n, near = 4000, {}
+    for i in range(n):
+        near[i] = sorted({rng.randrange(n) for _ in range(150)})
+    order = rng.sample(range(n), n)
+    links = sum(map(len, near.values()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(b, "i4"), pa.array([near[i] for i in b], pa.list_(pa.int32()))], ["s", "ds"]) for b in (order[k : k + 50] for k in range(0, n, 50))]
+    tracemalloc.start()
+    got, biggest = [], 0
+    for b in rules._search(n, links)(iter([x.slice(7) for x in batches] + [x.slice(0, 7) for x in batches])):
+        biggest = max(biggest, tracemalloc.get_traced_memory()[1])
+        got.append(b)
+    tracemalloc.stop()
+    assert biggest < 4 * links + 16 * n + (8 << 20)
+
+    path, depth, seen, at, want = [0], {0: 1}, {0}, [0] * n, []
+    for root in range(n):
+        if root not in seen:
+            path, depth[root] = [root], 1
+            seen.add(root)
+        while path:
+            node = path[-1]
+            if at[node] == len(near[node]):
+                depth.pop(path.pop())
+                continue
+            to = near[node][at[node]]
+            at[node] += 1
+            if to not in seen:
+                path.append(to)
+                seen.add(to)
+                depth[to] = len(path)
+            elif to in depth:
+                want.append((to, node, len(path) - depth[to] + 1))
+    assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns))] == want != []
+
+
+def test_cycles_of_no_and_odd_edges(spark):
+    empty = spark.createDataFrame([], "src string, dst string, type string")
+    assert rules.back_edges(empty).count() == 0
+    odd = spark.createDataFrame([("", "é"), ("é", ""), (None, "a"), ("b", None), ("\U0001f600", "\uffee"), ("\uffee", "\U0001f600"), ("b", "b"), ("b", "b")], "src string, dst string")
+    assert sorted(rows(rules.back_edges(odd))) == [("", "é", 2), ("b", "b", 1), ("\uffee", "\U0001f600", 2)]
+
+
 def test_parse(spark):
     f = spark.createDataFrame([("a.py", "def foo(x):\n  pass\nclass Bar:\n  pass"), ("b.ts", "export function run() {\n  a();\n}\ninterface Opt {"), ("c.vue", "<script setup>const q1 = 1</script><script>\nexport const zed = 2\n</script>")], "file_path string, content string")
     got = {(r.file_path, r.name, r.type, r.start_line, r.end_line) for r in parse.parse_declarations(f).collect()}
