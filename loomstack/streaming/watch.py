@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstack.functions.storage import Table
 from loomstack.sources.files import is_ignored
 
 WATCHED = r"\.(ts|tsx|js|jsx|mjs|cjs|vue|py|go|rs|java|kt|php|rb|cs|cpp|c|h|hpp|swift|scala|dart|svelte)\z"
@@ -59,13 +60,27 @@ def counters(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("total"), n("add").alias("added"), n("change").alias("changed"), n("delete").alias("deleted"), F.max("ts").alias("last_change"))
 
 
+#: Events of one range of the order.
+RANGE = 1 << 18
+
+
 def watched_files(events: DataFrame) -> DataFrame:
     """(root, ts, watched): files watched after each event of a top folder; an add counts 1, a delete -1, never below 0.
 
     The clamped sum is the running sum less its least value so far, if negative.
+    Events are cut into ranges of their order (ts, path, type, then any), summed
+    in each, and the sums and least values of a folder's earlier ranges added.
     """
-    root = F.substring_index("path", "/", 1)
-    order = W.partitionBy("root").orderBy("ts", "path").rowsBetween(W.unboundedPreceding, 0)
+    ranges = events.count() // RANGE + 1
     step = F.when(F.col("type") == "add", 1).when(F.col("type") == "delete", -1).otherwise(0)
-    sums = events.select(root.alias("root"), "ts", "path", step.alias("d")).withColumn("s", F.sum("d").over(order))
-    return sums.select("root", "ts", (F.col("s") - F.least(F.lit(0), F.min("s").over(order))).alias("watched"))
+    rows = events.select(F.substring_index("path", "/", 1).alias("root"), "ts", "path", "type", step.alias("d"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(ranges, "root", "ts", "path", "type", "row").withColumn("part", F.spark_partition_id()).repartition(ranges, "part")
+    order = W.partitionBy("part", "root").orderBy("ts", "path", "type", "row").rowsBetween(W.unboundedPreceding, 0)
+    sums = Table(ranged.withColumn("s", F.sum("d").over(order)).withColumn("m", F.min("s").over(order)).select("part", "root", "ts", "d", "s", "m"), "watched").df
+    before = W.partitionBy("root").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = sums.groupBy("root", "part").agg(F.sum("d").alias("d"), F.min("s").alias("m")).withColumn("s0", F.coalesce(F.sum("d").over(before), F.lit(0)))
+    # In a range at most one folder has gone on from an earlier one.
+    earlier = parts.select(F.col("root").alias("r"), F.col("part").alias("p"), "s0", F.min(F.col("s0") + F.col("m")).over(before).alias("low")).where("low is not null")
+    s0, low = F.coalesce("s0", F.lit(0)), F.coalesce("low", F.lit(0))
+    out = sums.join(F.broadcast(earlier), (F.col("part") == F.col("p")) & F.col("root").eqNullSafe(F.col("r")), "left")
+    return out.select("root", "ts", (F.col("s") + s0 - F.least(F.lit(0), low, F.col("m") + s0)).alias("watched"))

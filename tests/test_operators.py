@@ -433,6 +433,26 @@ def test_watched_files(spark):
     assert [r.watched for r in watch.watched_files(ev).orderBy("ts").collect()] == [0, 1, 2, 1, 0, 0, 1]
 
 
+def test_watched_files_over_ranges(spark, monkeypatch):
+    """Folders over several ranges, in one of them and none; no step sees a large part of the events in one task."""
+    rng = random.Random(8)
+    at = lambda s: None if s is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    kinds = ["add", "delete", "delete", "change", None]
+    ev = [(rng.choice(kinds if i < 900 else ["add", "add", "delete"]), rng.choice(["src/a", "src/b"] * 10 + ["lib/c"]), i) for i in range(2000)]
+    ev += [("add", None, 1), ("delete", "one/x", 3), ("add", "one/x", 4)] + [("add", "same/x", 7)] * 500 + [("add", "null/x", None)]
+    rng.shuffle(ev)
+    monkeypatch.setattr(watch, "RANGE", 128, raising=False)
+    out = watch.watched_files(spark.createDataFrame([(t, p, at(s)) for t, p, s in ev], "type string, path string, ts timestamp"))
+    want, n = [], {}
+    for t, p, s in sorted(ev, key=lambda e: (e[2] is not None, e[2] or 0, e[1] or "")):
+        root = p and p.split("/")[0]
+        n[root] = max(0, n.get(root, 0) + {"add": 1, "delete": -1}.get(t, 0))
+        want.append((root, at(s), n[root]))
+    assert sorted(map(str, rows(out))) == sorted(map(str, want))
+    parts = [r.n for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("watched").alias("n")).collect()]
+    assert sum(parts) == len(ev) and max(parts) <= 0.6 * len(ev)
+
+
 def test_symbol_import_edges_are_dealt_out(spark):
     syms = spark.createDataFrame([(None if i == 7 else str(i), "src/BIG.ts") for i in range(600)] + [("x", "src/b.ts"), ("x", "src/b.ts"), ("y", None)], "id string, file_path string").coalesce(1)
     imports = spark.createDataFrame([("src/BIG.ts", "BIG"), ("src/b.ts", "BIG"), ("src/b.ts", "b.ts"), ("src/b.ts", "src/"), ("src/BIG.ts", None), ("src/BIG.ts", "")], "file_path string, source string")
